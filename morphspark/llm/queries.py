@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing, toxicity
+from . import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_tiers(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -31,9 +39,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_exact_dedup, op6_best_fit_packing, op8_minhash_near_dedup, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_mix_sources, op4_line_dedup, op5_exact_dedup, op6_best_fit_packing, op8_minhash_near_dedup, op9_toxicity)}
 
 ORACLES = {
     "op3_mix_sources": mixing.SQL,
+    "op4_line_dedup": line_dedup.SQL,
     "op5_exact_dedup": "select doc_id, text, lang, source, n_chars from (select *, row_number() over (partition by text order by doc_id) as rn from documents) where rn = 1 or text is null",
 }
