@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, toxicity
+from . import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
@@ -39,10 +43,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_mix_sources, op4_line_dedup, op5_exact_dedup, op6_best_fit_packing, op8_minhash_near_dedup, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_mix_sources, op4_line_dedup, op5_exact_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_minhash_near_dedup, op9_toxicity)}
 
 ORACLES = {
     "op3_mix_sources": mixing.SQL,
     "op4_line_dedup": line_dedup.SQL,
+    "op7_suffix_array_dedup": suffix_dedup.SQL,
     "op5_exact_dedup": "select doc_id, text, lang, source, n_chars from (select *, row_number() over (partition by text order by doc_id) as rn from documents) where rn = 1 or text is null",
 }
