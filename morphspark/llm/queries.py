@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, suffix_dedup, toxicity
+from . import embedding_dedup, exact_dedup, line_dedup, mixing, near_dedup, packing, quality, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_tiers(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_mix_sources, op4_line_dedup, op5_exact_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_minhash_near_dedup, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_near_dedup, op3_mix_sources, op4_line_dedup, op5_exact_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_minhash_near_dedup, op9_toxicity)}
 
 ORACLES = {
     "op3_mix_sources": mixing.SQL,
