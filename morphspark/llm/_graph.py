@@ -14,7 +14,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Alternates large-star and small-star steps; each round is a written table,
     and the rounds grow with the logarithm of the longest chain.
     """
+    mark = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    was = mark(now)
     while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -24,9 +26,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("x"), "m").union(low.select("a", "m")).where("x <> m").distinct().toDF("a", "b")
         small = scratch.table(small)
-        same = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        is_ = mark(small)
         scratch.drop(large, now)
         now = small
-        if same:
+        if is_ == was:
             break
+        was = is_
     return scratch.table(now.select(F.col("a").alias("id"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b")).distinct()))

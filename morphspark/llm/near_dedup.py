@@ -4,8 +4,7 @@ Two small collections of sub-keys, U of three minhashes each and V of two, are
 computed for each document; a table's key is a pair from U x V. So 12 x 6 = 72
 tables, which would take 360 minhashes one by one, come from 48. Documents
 that share a key are candidates: in each bucket all are compared with the
-least, those that differ from it again with their least, and at last members
-of different components with each other. Comparison is by the exact Jaccard
+least, and then the members of different components with each other. Comparison is by the exact Jaccard
 similarity of the sets of shingles, so nothing but true pairs is united.
 """
 
@@ -142,36 +141,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         inter = F.size(F.array_intersect("sa", "sb"))
         return scratch.table(both.select("a", "b", (inter >= F.lit(threshold) * (F.size("sa") + F.size("sb") - inter)).alias("ok")))
 
-    stars = buckets.where("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b"))
-    known = verified(stars.distinct())
-    checks = [known]
-    bad = known.where("not ok")
-    open_ = scratch.table(buckets.select("key", F.col("id").alias("a"), F.col("c").alias("b")).join(bad, ["a", "b"], "left_semi").select("key", F.col("a").alias("id")))
-    while open_.count():
-        again = scratch.table(open_.withColumn("c", F.min("id").over(Window.partitionBy("key"))).where("id <> c"))
-        scratch.drop(open_)
-        pairs = again.select(F.col("id").alias("a"), F.col("c").alias("b")).distinct()
-        for k in checks:
-            pairs = pairs.join(k, ["a", "b"], "left_anti")
-        new = verified(pairs)
-        checks.append(new)
-        bad = checks[0].where("not ok")
-        for k in checks[1:]:
-            bad = bad.union(k.where("not ok"))
-        open_ = scratch.table(again.select("key", F.col("id").alias("a"), F.col("c").alias("b")).join(bad, ["a", "b"], "left_semi").select("key", F.col("a").alias("id")))
-        scratch.drop(again)
-    seen = checks[0]
-    for k in checks[1:]:
-        seen = seen.union(k)
-    good = seen.where("ok").select("a", "b")
-    root = components(good, scratch)
-    # Members of one bucket that no edge has united yet.
+    seen = verified(buckets.where("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b")).distinct())
+    edges = scratch.table(seen.where("ok").select("a", "b").union(firsts.select(F.col("id").alias("a"), F.col("first").alias("b"))))
+    root = components(edges, scratch)
+    # Members of one bucket that no edge has united: all pairs across components, but those compared before.
+    w = Window.partitionBy("key")
     named = buckets.select("key", "id").join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    mixed = scratch.table(named.withColumn("lo", F.min("root").over(Window.partitionBy("key"))).withColumn("hi", F.max("root").over(Window.partitionBy("key"))).where("lo <> hi").select("key", "id", "root"))
+    mixed = scratch.table(named.withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where("lo <> hi").select("key", "id", "root"))
+    scratch.drop(buckets)
     cross = mixed.toDF("key", "a", "ra").join(mixed.toDF("key", "b", "rb"), "key").where("a > b and ra <> rb").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
-    more = verified(cross)
-    edges = good.union(more.where("ok").select("a", "b")).union(firsts.toDF("a", "b"))
-    out = components(edges, scratch)
+    more = verified(cross).where("ok").select("a", "b")
+    # What they unite are whole components; each then has the least of their roots.
+    up = lambda t, c: t.join(root.toDF(c, "r_" + c), c, "left").withColumn(c, F.coalesce("r_" + c, c)).drop("r_" + c)
+    joined = scratch.table(up(up(more, "a"), "b").distinct())
+    if not joined.isEmpty():
+        top = components(joined, scratch)
+        met = root.union(joined.select("a", "a").union(joined.select("b", "b"))).distinct().toDF("id", "old")
+        root = met.join(top.toDF("old", "new"), "old", "left").select("id", F.coalesce("new", "old").alias("root"))
+    out = root
     return out.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), (F.col("id") == F.col("root")).alias("keep"))
 
 
