@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, line_dedup, mixing, near_dedup, packing, quality, suffix_dedup, toxicity
+from . import embedding_dedup, exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +47,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_near_dedup, op3_mix_sources, op4_line_dedup, op5_exact_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_minhash_near_dedup, op9_toxicity)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_near_dedup, op3_mix_sources, op4_line_dedup, op5_exact_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_minhash_near_dedup, op9_toxicity, op10_pii)}
 
 ORACLES = {
     "op3_mix_sources": mixing.SQL,
