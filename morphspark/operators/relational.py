@@ -1,12 +1,10 @@
-"""The parts of an analysis that are joins and windows: lookups, candidates, character classes, unknown words, splits."""
+"""The parts of an analysis that are joins and windows: character tables, lookups, connections, splits."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from morphspark.functions.chars import JOINED, NO_START, NO_START2
-
 #: A lexicon of at most so many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_WORDS = 200_000
 
@@ -28,28 +26,6 @@ def distinct_masks(df: DataFrame, ranges: DataFrame, text: str = "text") -> Data
     return found.join(F.broadcast(ranges), (F.col("code") >= F.col("lo")) & (F.col("code") < F.col("hi"))).select("ch", "code", "n", "mask")
 
 
-def with_masks(rows: DataFrame, masks: DataFrame) -> DataFrame:
-    """Rows of characters with their masks. masks: (ch, mask), at most one row for each character of Unicode."""
-    return rows.join(F.broadcast(masks.select("ch", "mask")), "ch")
-
-
-def class_runs(rows: DataFrame, key: str) -> DataFrame:
-    """(key, begin, end, mask): maximal runs of one mask in each text. For classes that don't overlap."""
-    w = Window.partitionBy(key).orderBy("i")
-    new = (F.lag("mask").over(w).isNull() | (F.lag("mask").over(w) != F.col("mask"))).cast("int")
-    run = rows.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    return run.groupBy(key, "run", "mask").agg(F.min("i").alias("begin"), (F.max("i") + 1).alias("end")).select(key, "begin", "end", "mask")
-
-
-def begin_flags(rows: DataFrame, key: str) -> DataFrame:
-    """(key, i, ch, bow): whether a word may begin at each character, for texts without zero-width joiners in a row."""
-    w = Window.partitionBy(key).orderBy("i")
-    m, before = F.col("mask"), F.coalesce(F.lag("mask").over(w), F.lit(0).cast("long"))
-    bit = lambda c, b: c.bitwiseAND(F.lit(b)) != 0
-    barred = bit(before, NO_START2) | bit(m, NO_START | NO_START2)
-    return rows.select(key, "i", "ch", (~barred & ~(bit(m, JOINED) & (m.bitwiseAND(before) != 0))).alias("bow"))
-
-
 def lookup(queries: DataFrame, lexicon: DataFrame, column: str) -> DataFrame:
     """The words whose surface is the value of a column, as it is, without analysis; unindexed words are not found."""
     words = lexicon.where("indexed").withColumnRenamed("surface", "_surface")
@@ -65,44 +41,6 @@ def word_infos(ids: DataFrame, lexicon: DataFrame, pos: DataFrame, column: str =
     return rows.select(*ids.columns, "headword", "pos_id", *[f"p{k}" for k in range(1, 7)], fill("base").alias("dictionary_form"), fill("normalized").alias("normalized_form"), fill("reading").alias("reading_form"), "split_a", "split_b", "structure", "synonyms")
 
 
-def prefix_candidates(df: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, begin, end, word_id, left_id, right_id, cost): every word of the lexicon at every place of every text.
-
-    Only lengths that the lexicon has are cut out; pieces meet words by an
-    equi-join. The order in which an analysis would find them is that of
-    begin, dictionary downwards, end, word id.
-    """
-    words = lexicon.where("indexed").select("surface", "dic_id", "word_id", "left_id", "right_id", "cost")
-    lengths = sorted(r[0] for r in words.select(F.length("surface")).distinct().collect())  # as many as there are lengths of words
-    starts = df.where(F.length(text) > 0).select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("_t"), F.explode(F.sequence(F.lit(0), F.length(text) - 1)).alias("begin"))
-    pieces = starts.select(F.col(f"`{key}`"), "_t", "begin", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).where(F.col("begin") + F.col("n") <= F.length("_t"))
-    cut = pieces.select(F.col(f"`{key}`"), "begin", (F.col("begin") + F.col("n")).alias("end"), F.substring(F.col("_t"), F.col("begin") + 1, F.col("n")).alias("surface"))
-    return cut.join(small(words), "surface").select(key, "begin", "end", "surface", "dic_id", "word_id", "left_id", "right_id", "cost")
-
-
-def unknown_candidates(rows: DataFrame, categories: DataFrame, unknown: DataFrame, key: str, words: DataFrame | None = None) -> DataFrame:
-    """(key, begin, end, category, left_id, right_id, cost): unknown words by class at every character, for classes that don't overlap.
-
-    categories: (category, mask, invoke, grp, length). words: (key, begin),
-    places where the lexicon has a word; classes that don't invoke give none there.
-    """
-    w = Window.partitionBy(key).orderBy("i")
-    new = (F.lag("mask").over(w).isNull() | (F.lag("mask").over(w) != F.col("mask"))).cast("int")
-    runs = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
-    ends = runs.withColumn("stop", F.max("i").over(Window.partitionBy(key, "_run")) + 1).select(key, "i", "mask", "stop")
-    if words is not None:
-        ends = ends.join(words.select(key, F.col("begin").alias("i")).distinct().withColumn("_has", F.lit(True)), [key, "i"], "left")
-    else:
-        ends = ends.withColumn("_has", F.lit(None).cast("boolean"))
-    kinds = categories.join(unknown, "category")
-    hit = ends.join(F.broadcast(kinds), "mask").where(F.col("invoke") | F.col("_has").isNull())  # a few dozen rows of definitions
-    run = F.col("stop") - F.col("i")
-    group = F.when(F.col("grp"), F.array(run)).otherwise(F.array().cast("array<int>"))
-    most = F.least(F.col("length"), run - F.col("grp").cast("int"))
-    each = F.when(most >= 1, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
-    return hit.select(key, F.col("i").alias("begin"), F.explode(F.concat(group, each)).alias("n"), "category", "left_id", "right_id", "cost").select(key, "begin", (F.col("begin") + F.col("n")).alias("end"), "category", "left_id", "right_id", "cost")
-
-
 def connect(pairs: DataFrame, conn: DataFrame) -> DataFrame:
     """Rows of (right_id of the left word, left_id of the right word) with the cost of their connection."""
     return pairs.join(conn.select(F.col("left").alias("right_id"), F.col("right").alias("left_id"), F.col("cost").alias("connection")), ["right_id", "left_id"])
