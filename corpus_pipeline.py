@@ -10,7 +10,7 @@ from morphspark.llm._scratch import Scratch
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised classifier calls toxic go."""
-    return toxicity.drop_toxic(docs)
+    return toxicity.drop_toxic(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

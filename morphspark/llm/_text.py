@@ -116,6 +116,19 @@ def hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(x, at)[::2] + (ends - starts).astype(np.uint64))
 
 
+def prefix_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """For each size, the hash of so many first bytes of each span, as hashes() gives it; 0 of shorter spans."""
+    if not len(starts):
+        return [np.zeros(0, np.uint64) for _ in sizes]
+    p = powers(max(sizes) + 1)
+    total, out = np.zeros(len(starts), np.uint64), []
+    for k in range(max(sizes)):
+        total = total + _BYTE[b[np.minimum(starts + k, len(b) - 1)]] * p[k]
+        if k + 1 in sizes:
+            out.append(np.where(ends - starts > k, mix(total + np.uint64(k + 1)), np.uint64(0)))
+    return out
+
+
 def ws_words(b: np.ndarray, offsets: np.ndarray):
     """White-space separated words: (hashes, starts, ends, row offsets)."""
     s, e, rows = spans(b, offsets, _SPACE)

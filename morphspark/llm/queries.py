@@ -44,7 +44,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(table(spark, sf_dir, "documents"))
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Toxicity by weak supervision.
 
-Lexicon and pattern voters fire or don't on each document. A generative label
+Lexicon and pattern voters fire or don't on each document. Besides the lexicons
+written here there is one of stems, word beginnings that a bounded sample of
+labelled documents repeats when toxic and hardly otherwise. A generative label
 model, a latent class with a tree of dependences between voters, is fitted by
 expectation-maximisation to the counts of all vote patterns in the corpus: it
 estimates each voter's accuracy and which voters only repeat each other. A
-linear classifier on hashed words is then trained on the posterior labels of a
+linear classifier on hashed words and repeated beginnings of words is then trained on the posterior labels of a
 bounded sample, and scores every document.
 """
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import _LETTER, chunks, hashes, lower, lower_words, ragged, row_sums, spans, word_hash
+from ._text import _LETTER, chunks, hashes, lower, lower_words, mix, prefix_hashes, ragged, row_sums, spans, word_hash
 
 LEXICON = {
     "mind": "idiot idiots idiotic moron morons moronic stupid dumb dumbass imbecile imbeciles dimwit halfwit brainless braindead cretin simpleton dolt nitwit dumm dummkopf trottel depp blöd blödmann imbécile débile crétin idiote estúpido estúpida tonto imbécil tarado",
@@ -29,9 +31,13 @@ LEXICON = {
     "threat": "kill hate destroy hurt stab strangle murder töten hassen umbringen tuer haïr matar odiar",
 }
 YOU = "you your youre ur u du dich dein euch tu toi vous ton te usted"
-VOTERS = [*LEXICON, "several", "distinct", "dense", "disguised", "direct"]
+VOTERS = [*LEXICON, "several", "distinct", "dense", "disguised", "direct", "stems"]
 BUCKET_BITS = 18
 MOST_TRAINING = 8_000
+MOST_LABELLED, MOST_STEMS = 4_000, 4_000
+STEMS = (4, 5, 6, 7, 8)  # bytes
+REPEATED = (5, 7)
+NO_STEMS = np.zeros(0, np.uint64)
 
 _GROUPS = {word_hash(w): k for k, words in enumerate(LEXICON.values()) for w in words.split()}
 _HASH = np.array(sorted(_GROUPS), np.uint64)
@@ -52,7 +58,49 @@ def _lookup(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[hit], k[hit]
 
 
-def votes(b: np.ndarray, offsets: np.ndarray, words=None) -> np.ndarray:
+def _often(b: np.ndarray, words, sizes: tuple[int, ...], least: int, words_each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, times) of the word beginnings that a row has `least` times or more, and once in words_each words at least."""
+    _, s, e, rows = words
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    out = []
+    for h in prefix_hashes(lower(b), s, e, sizes):
+        at = np.flatnonzero(h)
+        at = at[np.lexsort((h[at], row[at]))]
+        first = np.flatnonzero(np.concatenate([[True], (h[at][1:] != h[at][:-1]) | (row[at][1:] != row[at][:-1])])) if len(at) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(at)))
+        r = row[at[first]]
+        ok = (times >= least) & (times * words_each >= np.diff(rows)[r])
+        out.append((r[ok], h[at[first]][ok], times[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def stems(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = MOST_LABELLED) -> np.ndarray:
+    """Hashes of the word beginnings that toxic documents repeat and others don't, from at most most_labelled labelled documents, half of each label; at most MOST_STEMS, the surest."""
+    named = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y in (0, 1)").dropDuplicates(["id"])
+    half = [named.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most_labelled // 2) for y in (0, 1)]
+    some = F.broadcast(half[0].union(half[1]))  # at most most_labelled rows
+    text = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null").join(some, "id").select("y", "text")
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, _, b, o in chunks(batch.column(1)):
+                row, h, _ = _often(b, lower_words(b, o), STEMS, 3, 250)
+                yield pa.RecordBatch.from_arrays([pa.array(y[i + row], pa.int32()), pa.array(h.view(np.int64))], ["y", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(y[i : i + len(o) - 1], pa.int32()), pa.array(np.zeros(len(o) - 1, np.int64))], ["y", "h"])  # each document once
+
+    n = text.mapInArrow(repeated, "y int, h long").groupBy("h").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    every = n.where("h = 0").first()
+    if not every or not every.a or not every.b:
+        return NO_STEMS
+    na, nb = float(every.a), float(every.b)
+    term = lambda x, share: F.when(x > 0, x * F.log(x / ((F.col("a") + F.col("b")) * share))).otherwise(0.0)
+    sure = 2 * (term(F.col("a"), na / (na + nb)) + term(F.col("b"), nb / (na + nb)))
+    found = n.where("h <> 0 and a >= 4").where(F.col("a") / na > 10 * F.col("b") / nb).withColumn("g", sure).where("g >= 14").orderBy(F.desc("g"), "h").limit(MOST_STEMS).collect()
+    return np.sort(np.array([r.h for r in found], np.int64).view(np.uint64))
+
+
+def votes(b: np.ndarray, offsets: np.ndarray, words=None, known: np.ndarray = NO_STEMS) -> np.ndarray:
     """A bit for each voter that fires, for each row."""
     h, s, e, rows = words or lower_words(b, offsets)
     n = len(offsets) - 1
@@ -62,10 +110,18 @@ def votes(b: np.ndarray, offsets: np.ndarray, words=None) -> np.ndarray:
     np.bitwise_or.at(out, row, 1 << _GROUP[entry])
     total = np.bincount(row, minlength=n)
     kinds = np.bincount(np.unique(row * len(_HASH) + entry) // len(_HASH), minlength=n)
-    m = len(LEXICON)
+    m, size = len(LEXICON), np.diff(rows)
+    if len(known):  # a stem may turn up by chance: the first doesn't count, nor do few in a long text
+        hit = np.zeros(len(h), bool)
+        for x in prefix_hashes(lower(b), s, e, STEMS):
+            hit |= known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+        times = np.bincount(np.searchsorted(rows, np.flatnonzero(hit), side="right") - 1, minlength=n)
+        times = np.where((times >= 2) & (times * 120 >= size), times, 0)
+        out |= (times > 0).astype(np.int64) << (m + 5)
+        total, kinds = total + np.maximum(times - 1, 0), kinds + times // 2
     out |= (total >= 2).astype(np.int64) << m
     out |= (kinds >= 2).astype(np.int64) << (m + 1)
-    out |= ((total > 0) & (total * 50 >= np.diff(rows))).astype(np.int64) << (m + 2)
+    out |= ((total > 0) & (total * 50 >= size)).astype(np.int64) << (m + 2)
     odd = np.zeros(256, bool)
     odd[[*b"013457@$!"]] = True
     if odd[b].any():  # words with digits or signs in place of letters
@@ -96,7 +152,7 @@ class LabelModel:
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 200):
         v = (patterns[:, None] >> np.arange(len(VOTERS))) & 1
         self.parent = np.full(v.shape[1], -1)
-        p = np.where(v[:, : len(LEXICON)].any(1) | v[:, len(LEXICON) + 3].astype(bool), 0.9, 0.01)
+        p = np.where(v[:, : len(LEXICON)].any(1) | v[:, [len(LEXICON), len(LEXICON) + 3]].any(1), 0.9, 0.01)
         self._fit(v, counts, p, rounds)
         self.parent = self._tree(v, counts, self.posterior(v))
         self._fit(v, counts, self.posterior(v), rounds)
@@ -157,9 +213,14 @@ class LabelModel:
         return parent
 
 
-def _features(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of the words of each row, and their numbers."""
+def _features(b: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of the words and repeated word beginnings of each row, and their numbers."""
+    h, _, _, rows = words
     row = np.repeat(np.arange(len(rows) - 1, dtype=np.uint64), np.diff(rows))
+    r, x, times = _often(b, words, REPEATED, 2, 120)
+    more = times > 2
+    row = np.concatenate([row, r.astype(np.uint64), r[more].astype(np.uint64)])
+    h = np.concatenate([h, mix(x + np.uint64(2)), mix(x[more] + np.uint64(3))])
     u = np.unique(row << np.uint64(BUCKET_BITS) | h >> np.uint64(64 - BUCKET_BITS))
     return (u & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int32), np.bincount((u >> np.uint64(BUCKET_BITS)).astype(np.int64), minlength=len(rows) - 1)
 
@@ -209,20 +270,20 @@ class Model:
     def score(self, text: pa.Array) -> np.ndarray:
         out = []
         for _, _, b, o in chunks(text):
-            h, _, _, rows = lower_words(b, o)
-            f, n = _features(h, rows)
+            f, n = _features(b, lower_words(b, o))
             out.append(row_sums(self.weights[f].astype(np.float64), np.concatenate([[0], np.cumsum(n)])))
         s = np.concatenate(out) if out else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(s + self.bias, -30, 30)))
 
 
-def train(docs: DataFrame, text_col: str = "text", most_training: int = MOST_TRAINING) -> Model:
+def train(docs: DataFrame, text_col: str = "text", most_training: int = MOST_TRAINING, labels: DataFrame | None = None, id_col: str = "doc_id") -> Model:
     """Label model from the votes on all documents, classifier from at most about most_training of them, picked by a hash of the text: half from documents on which no voter fires."""
     text = docs.select(F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    known = NO_STEMS if labels is None else stems(docs, labels, id_col, text_col)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = [votes(b, o) for _, _, b, o in chunks(batch.column(0))]
+            v = [votes(b, o, None, known) for _, _, b, o in chunks(batch.column(0))]
             p, n = np.unique(np.concatenate(v) if v else np.zeros(0, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)), pa.array(n.astype(np.int64))], ["p", "n"])
 
@@ -240,14 +301,14 @@ def train(docs: DataFrame, text_col: str = "text", most_training: int = MOST_TRA
         for batch in batches:
             for _, _, b, o in chunks(batch.column(0)):
                 words = lower_words(b, o)
-                v = votes(b, o, words)
+                v = votes(b, o, words, known)
                 h, _, _, rows = words
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)])
                 draw = (total[rows[1:]] - total[rows[:-1]]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)
                 at = np.flatnonzero(draw.astype(np.float64) / 2**53 < np.array([take.get(int(x), 1.0) for x in v]))
                 if not len(at):
                     continue
-                f, n = _features(h, rows)
+                f, n = _features(b, words)
                 start = np.concatenate([[0], np.cumsum(n)])
                 pick = np.concatenate([f[start[i] : start[i + 1]] for i in at])
                 yield pa.RecordBatch.from_arrays([pa.array(v[at]), ragged(pick, n[at], pa.int32())], ["p", "f"])
@@ -270,21 +331,22 @@ def _scorer(docs: DataFrame, model: Model):
     return score
 
 
-def toxicity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, most_training: int = MOST_TRAINING) -> DataFrame:
+def toxicity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, most_training: int = MOST_TRAINING, labels: DataFrame | None = None) -> DataFrame:
     """(doc_id, score, toxic) of every row.
 
     Whole texts are scored. A null, empty or wordless text has no evidence
     and is not toxic. Repeated rows get equal scores; null ids are carried. An
     empty table gives an empty one. At most about most_training documents
-    train the classifier; the label model's counts cover all.
+    train the classifier; the label model's counts cover all. labels (the id,
+    toxic) serve to find stems; without them there are none.
     """
-    score = _scorer(docs, train(docs, text_col, most_training))
+    score = _scorer(docs, train(docs, text_col, most_training, labels, id_col))
     out = docs.select(F.col(f"`{id_col}`").alias("doc_id"), score(F.col(f"`{text_col}`")).alias("score"))
     return out.withColumn("toxic", F.col("score") >= threshold)
 
 
-def drop_toxic(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, most_training: int = MOST_TRAINING) -> DataFrame:
+def drop_toxic(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, most_training: int = MOST_TRAINING, labels: DataFrame | None = None) -> DataFrame:
     """The rows that toxicity() doesn't call toxic, in the columns of the input."""
-    score = _scorer(docs, train(docs, text_col, most_training))
+    score = _scorer(docs, train(docs, text_col, most_training, labels, id_col))
     return docs.where(score(F.col(f"`{text_col}`")) < threshold)
 
