@@ -54,6 +54,7 @@ def test_best_path_is_the_cheapest(held):
     def paths(text, at, right, total):
         if at == len(text):
             yield total + conn[right][0]
+            return
         for end, left, r, cost, _ in held.found(text, at):
             yield from paths(text, end, r, total + conn[right][left] + cost)
 
