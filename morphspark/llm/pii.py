@@ -168,7 +168,11 @@ class Tagger:
             dc = dc * f
             dh = dz @ u.T
         gu = np.tensordot(hs[:-1], dzs, ((0, 1), (0, 1)))
-        np.add.at(gx, ids.ravel(), dzs.reshape(-1, 4 * h))
+        seen = ids.ravel()
+        order = np.argsort(seen, kind="stable")
+        seen = seen[order]
+        edge = np.flatnonzero(np.diff(seen, prepend=-1))
+        gx[seen[edge]] = np.add.reduceat(dzs.reshape(-1, 4 * h)[order], edge, axis=0)
         grad["x" + d], grad["u" + d] = gx, gu
 
     def gradient(self, ids: np.ndarray, tags: np.ndarray):
@@ -226,7 +230,7 @@ class Tagger:
     def ready(self) -> None:
         h = self.hidden
         half = np.concatenate([np.full(3 * h, 0.5), np.ones(h)]).astype(np.float32)
-        self.fast = {d: (np.ascontiguousarray(self.p["x" + d] * half), np.ascontiguousarray((self.p["u" + d] * half).T), np.ascontiguousarray(self.p["o" + d].T)) for d in "fb"}
+        self.fast = {d: (np.ascontiguousarray((self.p["x" + d] * half).T), np.ascontiguousarray((self.p["u" + d] * half).T), np.ascontiguousarray(self.p["o" + d].T)) for d in "fb"}
 
     def _emit(self, ids: np.ndarray, live: np.ndarray, d: str) -> np.ndarray:
         """Tag scores, time x tags x windows; windows come longest first, live: how many last beyond each time."""
@@ -234,14 +238,17 @@ class Tagger:
         h = self.hidden
         n, m = ids.shape
         out = np.empty((n, TAGS, m), np.float32)
-        hid, cell = np.zeros((h, m), np.float32), np.zeros((h, m), np.float32)
-        z, s, was = np.empty((4 * h, m), np.float32), np.empty((h, m), np.float32), m
+        new = lambda k: (np.empty((4 * h, k), np.float32), np.empty((4 * h, k), np.float32), np.empty((h, k), np.float32))
+        hid, cell, was = np.zeros((h, m), np.float32), np.zeros((h, m), np.float32), m
+        z, y, s = new(m)
         for t in range(n):
             k = int(live[t])
             if k != was:
-                hid, cell, z, s, was = np.ascontiguousarray(hid[:, :k]), np.ascontiguousarray(cell[:, :k]), np.empty((4 * h, k), np.float32), np.empty((h, k), np.float32), k
+                hid, cell, was = np.ascontiguousarray(hid[:, :k]), np.ascontiguousarray(cell[:, :k]), k
+                z, y, s = new(k)
             np.matmul(u, hid, out=z)
-            z += x[ids[t, :k]].T
+            np.take(x, ids[t, :k], axis=1, out=y, mode="clip")
+            z += y
             np.tanh(z, out=z)
             gate = z[: 3 * h]
             gate *= 0.5
@@ -255,55 +262,63 @@ class Tagger:
         return out
 
     def decode(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """(window, tags) of every window whose best path isn't none throughout. Windows: places in codes, longest first."""
+        """(window, tags) of the windows whose best path isn't none throughout. Windows: places in codes, longest first."""
         n, m = int(size[0]), len(size)
         live = np.searchsorted(-size, -np.arange(1, n + 1), side="right")
         t = np.arange(n)[:, None]
         inside = t < size
         cls = _CLASS[codes]
-        fore = np.where(inside, cls[np.minimum(start + t, len(cls) - 1)], 0)
-        back = np.where(inside, cls[np.maximum(start + size - 1 - t, 0)], 0)
+        fore = np.where(inside, cls[np.minimum(start + t, len(cls) - 1)], 0).astype(np.intp)
+        back = np.where(inside, cls[np.maximum(start + size - 1 - t, 0)], 0).astype(np.intp)
         e = self._emit(fore, live, "f")
         eb = self._emit(back, live, "b")
-        trans = self.p["t"]
-        stay, into, out_of = trans[0, 0], trans[0, 1:, None], trans[1:, 0, None]
-        keep = np.diag(trans)[1:, None]
         bias = self.p["b"][:, None]
         w = np.arange(m)
-        # Add the backward scores in place; then the best path's score against that of none throughout.
+        full = int(np.searchsorted(-size, -n, side="right"))  # windows of the greatest length
         for i in range(n):
             k = int(live[i])
-            e[i, :, :k] += eb[size[:k] - 1 - i, :, w[:k]].T + bias
-        none, kinds, alone = e[0, 0].copy(), e[0, 1:].copy(), e[0, 0].copy()
-        best, flat = np.empty(m, np.float32), np.empty(m, np.float32)
-        best[:], flat[:] = np.maximum(none, kinds.max(0)), alone
+            x = e[i, :, :k]
+            x += bias
+            x[:, :full] += eb[n - 1 - i, :, :full]
+            if k > full:
+                x[:, full:] += eb[size[full:k] - 1 - i, :, w[full:k]].T
+        out: list[tuple[int, np.ndarray]] = []
+        for s in range(0, m, 512):
+            part = slice(s, s + 512)
+            out += [(s + j, x) for j, x in enumerate(self._best(e[: size[s], :, part], size[part])) if x.any()]
+        return out
+
+    def _best(self, e: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        """The best path of each window. e: time x tags x windows, longest first.
+
+        A kind goes on or comes from none, so a step keeps one bit for each
+        kind and, for none, which kind has ended if any.
+        """
+        n, m = int(size[0]), len(size)
+        live = np.searchsorted(-size, -np.arange(1, n + 1), side="right")
+        trans = self.p["t"]
+        stay, into, out_of, keep = trans[0, 0], trans[0, 1:, None], trans[1:, 0, None], np.diag(trans)[1:, None]
+        none, kinds = e[0, 0].copy(), e[0, 1:].copy()
+        begun, ended = np.zeros((n, TAGS - 1, m), bool), np.zeros((n, m), np.int8)
         for i in range(1, n):
             k = int(live[i])
-            if k != len(none):
-                best[k : len(none)] = np.maximum(none, kinds.max(0))[k:]
-                flat[k : len(none)] = alone[k:]
-                none, kinds, alone = none[:k], kinds[:, :k], alone[:k]
-            came = np.maximum(none + stay, (kinds + out_of).max(0))
-            kinds = np.maximum(none + into, kinds + keep) + e[i, 1:, :k]
-            none = came + e[i, 0, :k]
-            alone = alone + (e[i, 0, :k] + stay)
-        k = len(none)
-        best[:k], flat[:k] = np.maximum(none, kinds.max(0)), alone
-        full = trans + _FORBIDDEN
-        found = []
-        for j in np.flatnonzero(best > flat + 1e-3):
-            x = e[: size[j], :, j]
-            score, path = x[0], np.empty((len(x), TAGS), np.int8)
-            for i in range(1, len(x)):
-                way = score[:, None] + full
-                path[i] = way.argmax(0)
-                score = way[path[i], np.arange(TAGS)] + x[i]
-            tags = np.empty(len(x), np.int8)
-            tags[-1] = score.argmax()
-            for i in range(len(x) - 1, 0, -1):
-                tags[i - 1] = path[i, tags[i]]
-            found.append((int(j), tags))
-        return found
+            a, b = none[:k], kinds[:, :k]
+            on, new, off = b + keep, a + into, b + out_of
+            begun[i, :, :k] = new > on
+            which, top = off.argmax(0), off.max(0)
+            a = a + stay
+            ended[i, :k] = np.where(top > a, which + 1, 0)
+            none[:k] = np.maximum(a, top) + e[i, 0, :k]
+            kinds[:, :k] = np.maximum(on, new) + e[i, 1:, :k]
+        now = np.where(kinds.max(0) > none, kinds.argmax(0) + 1, 0)
+        tags, w = np.zeros((n, m), np.int8), np.arange(m)
+        for i in range(n - 1, -1, -1):
+            k = int(live[i])
+            x = now[:k]
+            tags[i, :k] = x
+            if i:
+                now[:k] = np.where(x == 0, ended[i, :k], np.where(begun[i, np.maximum(x - 1, 0), w[:k]], 0, x))
+        return [tags[:k, j] for j, k in enumerate(size)]
 
     def spans(self, b: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, str]]:
         """(row, first character, end, tag, text) of the spans in the rows of a flat buffer."""
