@@ -24,7 +24,7 @@ KINDS = ["EMAIL", "PHONE", "IP", "CARD", "SECRET", "SSN"]
 TAGS = len(KINDS) + 1  # 0: none
 HIDDEN = 8
 WINDOW, OVERLAP = 512, 64
-TRAINING = 3_000
+TRAINING = 4_000
 
 # Characters: printable ASCII each for itself, then other small letters, capitals, digits, white space, all else.
 _CLASS = np.full(0x110000 >> 0, 104, np.uint8)
@@ -57,6 +57,7 @@ def _plain(r: random.Random) -> str:
         lambda: str(r.randint(0, 99)), lambda: str(r.randint(1900, 2030)), lambda: f"{r.randint(0, 999)}.{r.randint(0, 99):02}", lambda: f"{r.randint(1, 9)}.{r.randint(0, 9)}", lambda: f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}",
         lambda: f"{r.randint(1, 999)},{_digits(r, 3)}", lambda: f"{r.randint(1950, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"{r.randint(0, 23)}:{r.randint(0, 59):02}", lambda: f"${r.randint(1, 9999)}", lambda: f"{r.randint(1, 100)}%", lambda: f"({r.randint(1, 20)})", lambda: f"#{r.randint(1, 999)}",
         lambda: f"http://www.{_word(r).lower()}.org/{_word(r).lower()}-{r.randint(1, 9)}.{r.randint(0, 9)}", lambda: "|", lambda: "@", lambda: f"@{_word(r)}", lambda: "+", lambda: "token", lambda: '"' + _word(r) + '"', lambda: "=", lambda: f"{_word(r)}-{_word(r)}", lambda: f"{_word(r)}.{_word(r)}", lambda: f"version {r.randint(1, 9)}.{r.randint(0, 9)}.", lambda: _word(r) + str(r.randint(1, 99)),
+        lambda: f"{r.randint(0, 9)}.{r.randint(0, 9)}.", lambda: f"{r.randint(0, 9)}.{r.randint(0, 9)}.", lambda: f"{r.randint(0, 9)}.{r.randint(0, 9)}", lambda: f"{_word(r)}.", lambda: f"({_word(r)} {r.randint(0, 9)}.{r.randint(0, 9)})",
     ])()
 
 
@@ -83,27 +84,34 @@ def _private(r: random.Random) -> tuple[str, str, str, int]:
     return "", f"{_digits(r, 3)}-{_digits(r, 2)}-{_digits(r, 4)}", "", k
 
 
-def labelled(n: int, seed: int) -> list[tuple[str, np.ndarray]]:
-    """n texts with a tag for each character."""
+def labelled(n: int, seed: int, length: int = 150) -> list[tuple[str, np.ndarray]]:
+    """n texts of that length with a tag for each character. They begin and end anywhere; a span of which too little is left to tell what it is has no tag."""
     r, out = random.Random(seed), []
     for _ in range(n):
-        text, tags = [], []
+        text, at, spans = [], 0, []
         tail = r.choice(["", "", "", "", "***", "&&&", "%%%", "$$$", "###", "!!", ","])
-        hot = r.choice([0.0, 0.06, 0.12, 0.25])
-        while sum(map(len, text)) < 150:
+        hot = r.choice([0.0, 0.0, 0.06, 0.12, 0.25])
+        stop = r.choice([".", ".", ",", tail])
+        while at < length + 20:
             x = r.random()
             if x < hot:
                 a, s, b, k = _private(r)
-                end = r.choice(["", "", "", "", ".", ",", ")", ">", tail])
-                piece, tag = a + s + b + end, [0] * len(a) + [k] * len(s) + [0] * (len(b) + len(end))
+                spans.append((at + len(a), at + len(a) + len(s), k))
+                piece = a + s + b + r.choice(["", "", "", "", ".", ",", ")", ">", tail])
+            elif x < hot + 0.05:
+                piece = _plain(r)
             else:
-                w = _plain(r) if x < hot + 0.05 else _word(r) + (tail if r.random() < 0.8 else "") + r.choice(["", "", "", "", "", ".", ",", "!"])
-                piece, tag = w, [0] * len(w)
-            gap = r.choice([" "] * 9 + ["\n", " | "])
-            text.append(piece + gap)
-            tags += tag + [0] * len(gap)
-        cut = r.randint(0, 20)  # windows begin anywhere
-        out.append(("".join(text)[cut:], np.array(tags[cut:], np.int64)))
+                piece = _word(r) + (tail if r.random() < 0.8 else "") + r.choice(["", "", "", "", stop, ".", ",", "!"])
+            piece += r.choice([" "] * 9 + ["\n", " | "])
+            text.append(piece)
+            at += len(piece)
+        cut = r.randint(0, 20)
+        shown, tags = "".join(text)[cut : cut + length], np.zeros(length, np.int64)
+        for s, e, k in spans:
+            i, j = max(s - cut, 0), min(e - cut, length)
+            if j - i >= 0.7 * (e - s) and (KINDS[k - 1] != "EMAIL" or "@" in shown[i:j]):
+                tags[i:j] = k
+        out.append((shown, tags))
     return out
 
 
@@ -203,7 +211,7 @@ class Tagger:
         self._backward(ids[::-1], "b", *bb, (de @ self.p["ob"].T)[::-1], grad)
         return float(z.sum() - gold), grad
 
-    def fit(self, data: list[tuple[str, np.ndarray]], epochs: int = 30, batch: int = 64, rate: float = 0.02, seed: int = 5) -> None:
+    def fit(self, data: list[tuple[str, np.ndarray]], epochs: int = 30, batch: int = 96, rate: float = 0.025, seed: int = 5) -> None:
         g = np.random.default_rng(seed)
         size = min(len(t) for t, _ in data)
         ids = np.stack([_CLASS[np.array([ord(c) for c in t[:size]])] for t, _ in data], 1).astype(np.int64)
@@ -358,7 +366,7 @@ class Tagger:
 
 
 @lru_cache(maxsize=2)
-def trained(n: int = TRAINING, seed: int = 11, epochs: int = 14) -> Tagger:
+def trained(n: int = TRAINING, seed: int = 11, epochs: int = 20) -> Tagger:
     """A tagger trained on n labelled texts."""
     t = Tagger()
     t.fit(labelled(n, seed), epochs)
