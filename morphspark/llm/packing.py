@@ -83,11 +83,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     scratch = Scratch(spark, "packing")
     if sizes is None:
         sizes = docs.select(F.col(f"`{id_col}`").alias("doc_id"), n_words(F.col(f"`{text_col}`")).alias("n"))
-    sizes = scratch.table(sizes.select("doc_id", "n"))
+    sizes = scratch.table(sizes.select("doc_id", "n", F.monotonically_increasing_id().alias("row")))  # ids may repeat or be null; a row's number, once written, is its own
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity) * capacity, F.lit(capacity).cast("long")))
-    items = sizes.where("n > 0").select("doc_id", "n", starts.alias("start_token")).select("doc_id", "start_token", F.least(F.col("n") - F.col("start_token"), F.lit(capacity)).cast("long").alias("n_tokens"))
+    items = sizes.where("n > 0").select("doc_id", "n", "row", starts.alias("start_token")).select("doc_id", "row", "start_token", F.least(F.col("n") - F.col("start_token"), F.lit(capacity)).cast("long").alias("n_tokens"))
     n = sizes.agg(F.sum(F.ceil(F.col("n") / capacity))).first()[0] or 0
-    full = items.where(F.col("n_tokens") == capacity).select("*", F.concat(F.lit("full-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("start_token")).alias("bin_id"), F.lit(None).cast("long").alias("part"), F.lit(1).cast("long").alias("part_bins"), F.lit(1).cast("long").alias("part_bound"))
+    full = items.where(F.col("n_tokens") == capacity).select("doc_id", "start_token", "n_tokens", F.concat(F.lit("full-"), F.col("row"), F.lit("-"), F.col("start_token")).alias("bin_id"), F.lit(None).cast("long").alias("part"), F.lit(1).cast("long").alias("part_bins"), F.lit(1).cast("long").alias("part_bound"))
     kind = "doc_id long, start_token long, n_tokens long, bin_id string, part long, part_bins long, part_bound long, open boolean"
     arrow = pa.schema([("doc_id", pa.int64()), ("start_token", pa.int64()), ("n_tokens", pa.int64()), ("bin_id", pa.string()), ("part", pa.int64()), ("part_bins", pa.int64()), ("part_bound", pa.int64()), ("open", pa.bool_())])
 

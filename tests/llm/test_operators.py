@@ -226,6 +226,21 @@ def test_packing_odd(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_full_pieces_of_repeated_and_null_ids(spark):
+    rng = random.Random(16)
+    rows = [(i, words(rng, n), "s") for i, n in ((7, 5000), (7, 5000), (7, 4096), (None, 4096), (None, 6500), (None, 2048), (8, 2048))]
+    got = packing.pack(frame(spark, rows + rows[:1])).collect()
+    assert all(r.bin_id is not None for r in got)
+    pieces = lambda n: [(s, min(packing.CAPACITY, n - s)) for s in range(0, n, packing.CAPACITY)]
+    assert Counter((r.doc_id, r.start_token, r.n_tokens) for r in got) == Counter((i, *p) for i, t, _ in rows + rows[:1] for p in pieces(len(t.split())))
+    load, parts = Counter(), defaultdict(set)
+    for r in got:
+        load[r.bin_id] += r.n_tokens
+        parts[r.part if r.part is not None else r.bin_id].add((r.bin_id, r.part_bins))
+    assert max(load.values()) <= packing.CAPACITY
+    assert all(len(p) == n for p in parts.values() for _, n in p)
+
+
 # 4 line dedup
 
 
