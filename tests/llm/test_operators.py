@@ -363,6 +363,20 @@ def test_embedding_groups(spark):
         assert sum(got.get(i) == r for i, r in want.items()) >= 0.9 * len(want)
 
 
+def test_embedding_recall_in_a_crowded_deep_forest(spark):
+    rng = np.random.default_rng(17)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    n, pairs, dim = 20_000, 1000, 64
+    x = unit(np.sqrt(0.8) * unit(rng.standard_normal(dim)) + np.sqrt(0.2) * unit(rng.standard_normal((n, dim))))  # one cluster, cosine 0.8
+    off = rng.standard_normal((pairs, dim))
+    off = unit(off - (off * x[:pairs]).sum(1, keepdims=True) * x[:pairs])
+    x = np.concatenate([x, 0.952 * x[:pairs] + np.sqrt(1 - 0.952**2) * off]).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    got = {r.vec_id: r.group_id for r in embedding_dedup.embedding_groups(df, leaf=16, node=6000).collect()}
+    assert sum(got.get(i) == got.get(n + i) == i for i in range(pairs)) >= 0.9 * pairs
+    assert embedding_dedup.trees_for(10**6, 128, 0.05) > embedding_dedup.trees_for(10**5, 128, 0.05) > embedding_dedup.TREES == embedding_dedup.trees_for(2000, 128, 0.05)
+
+
 def test_embedding_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [2.0, 0.0, 0.0]), (4, []), (5, None), (None, [1.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [0.0, 0.0]), (9, [None, 1.0]), (10, [0.0, 1.0])]
