@@ -107,6 +107,23 @@ def test_near_groups_against_brute_force(spark):
     assert kept == {i for i in range(len(rows)) if got.get(i, i) == i}
 
 
+def pairs_at(own, n):
+    """n pairs of documents, alike to no others, that share 60 shingles of 61 words and have so many of their own."""
+    rows = []
+    for k in range(n):
+        for side in "ab":
+            rows.append((len(rows), " ".join([f"p{k}c{i}" for i in range(61)] + [f"p{k}{side}{i}" for i in range(own)]), "s"))
+    return rows
+
+
+def test_near_recall_at_the_threshold(spark):
+    rows = pairs_at(20, 3000)
+    assert near_dedup.THRESHOLD <= jaccard(rows[0][1], rows[1][1]) < 0.61
+    got = {r.doc_id: r.group_id for r in near_dedup.near_groups(frame(spark, rows)).collect()}
+    assert all(got[i] == i - i % 2 for i in got)
+    assert len(got) / 2 >= 0.9 * 3000
+
+
 def test_near_odd(spark):
     got = {(r.doc_id, r.group_id, r.keep) for r in near_dedup.near_groups(odd(spark)).collect()}
     assert got == {(6, 6, True), (7, 6, False)}

@@ -3,8 +3,8 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from morphspark.llm import packing, queries, toxicity
-from tests.llm.test_operators import brute_mix, empty, jaccard, odd
+from morphspark.llm import near_dedup, packing, queries, toxicity
+from tests.llm.test_operators import brute_mix, empty, frame, jaccard, odd, pairs_at
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,6 +43,14 @@ def test_pipeline(spark):
     assert got == n and max(load.values()) <= packing.CAPACITY
 
 
+def test_near_stage_at_its_threshold(spark):
+    """Of copies at the threshold nine in ten go, not only those at 0.75."""
+    rows = pairs_at(20, 3000)
+    assert near_dedup.THRESHOLD <= jaccard(rows[0][1], rows[1][1]) < 0.75
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near dedup"](spark, frame(spark, rows), SF).select("doc_id").collect()}
+    assert len(rows) - len(kept) >= 0.9 * 3000 and all(i in kept for i in range(0, len(rows), 2))
+
+
 def test_run_and_names(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
