@@ -4,7 +4,9 @@ Every window of LENGTH words belongs to its minimiser, the least hash of GRAM
 words in it, so equal windows meet at equal minimisers. Windows in a row that
 share one form a piece. Pieces whose minimiser occurs once in the corpus hold
 no repeat and stop there; the rest gather by minimiser in buckets, equal pieces
-as one. For each bucket the Burrows-Wheeler transform of all its pieces and
+as one. A minimiser with too many unlike pieces for one task is parted: its
+pieces are cut again by another minimiser of their windows, at last to single
+windows, so no bucket grows with the corpus. For each bucket the Burrows-Wheeler transform of all its pieces and
 the common prefixes of neighbouring suffixes are built by inserting, in each
 round, the next symbol of every piece from its end; what stands so far is read
 and written in order, in memory while it is small and else in files in the
@@ -31,6 +33,9 @@ LENGTH = 50
 GRAM = 8
 IN_MEMORY = 64 << 20
 BUCKET_WORDS = 200_000
+#: Unlike pieces of one minimiser that one task takes; SEEDS: minimisers that part those with more, before single windows do.
+MOST_PIECES = 20_000
+SEEDS = (1, 2, 3)
 
 
 class Columns:
@@ -72,7 +77,7 @@ def build(symbols: np.ndarray, rows: np.ndarray, cap: int, folder: str, in_memor
     """(piece, offset, common prefix with the suffix before, BWT symbol), suffixes in order.
 
     symbols: small whole numbers of all pieces on end, row offsets. Common
-    prefixes are cut at cap (255 at most). Suffixes that agree to a piece's
+    prefixes are cut at cap. Suffixes that agree to a piece's
     end come in the order of their pieces. The BWT symbol of a whole piece is -1.
     """
     n = np.diff(rows)
@@ -82,7 +87,8 @@ def build(symbols: np.ndarray, rows: np.ndarray, cap: int, folder: str, in_memor
     piece = np.arange(m, dtype=np.int32)
     first = np.full(m, -1, np.int64)  # first symbol of the suffix
     rest = np.arange(m, dtype=np.int64)  # where the suffix without it stands
-    lcp = np.zeros(m, np.uint8)
+    kind = np.uint8 if cap < 256 else np.uint16 if cap < 65536 else np.int64
+    lcp = np.zeros(m, kind)
     offset = n.astype(np.int32).copy()
     place = np.arange(m, dtype=np.int64)
     state.write(piece, offset, first, rest, lcp)
@@ -116,7 +122,7 @@ def build(symbols: np.ndarray, rows: np.ndarray, cap: int, folder: str, in_memor
         def least(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
             """min of lcp[lo + 1 .. hi], for lo < hi."""
             span = np.frexp(np.maximum(hi - lo, 1).astype(np.float64))[1] - 1
-            out = np.empty(len(lo), np.uint8)
+            out = np.empty(len(lo), kind)
             for s in np.unique(span):
                 w = span == s
                 out[w] = np.minimum(table[s][lo[w] + 1], table[s][hi[w] - (1 << s) + 1])
@@ -124,13 +130,13 @@ def build(symbols: np.ndarray, rows: np.ndarray, cap: int, folder: str, in_memor
 
         f2, r2 = merged(first, c), merged(rest, q)  # rest still by the old places
         touched = np.unique(np.concatenate([new, np.minimum(new + 1, size + k - 1)]))
-        l2 = merged(lcp, np.zeros(k, np.uint8))
+        l2 = merged(lcp, np.zeros(k, kind))
         t = touched[touched > 0]
         same = (f2[t] == f2[t - 1]) & (f2[t] >= 0)
-        value = np.zeros(len(t), np.uint8)
+        value = np.zeros(len(t), kind)
         if same.any():
             w = t[same]
-            value[same] = np.minimum(least(r2[w - 1], r2[w]).astype(np.int64) + 1, cap).astype(np.uint8)
+            value[same] = np.minimum(least(r2[w - 1], r2[w]).astype(np.int64) + 1, cap).astype(kind)
         l2[t] = value
         place[live] = new
         state.write(merged(piece, live.astype(np.int32)), merged(offset, (n[live] - j).astype(np.int32)), f2, np.where(f2 >= 0, old[np.minimum(r2, size - 1)], r2), l2)
@@ -143,9 +149,9 @@ def build(symbols: np.ndarray, rows: np.ndarray, cap: int, folder: str, in_memor
     return piece, offset, lcp, before
 
 
-def pieces(h: np.ndarray, rows: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, minimiser) of the pieces: windows in a row with one minimiser."""
-    g = np.zeros(max(0, len(h) - gram + 1), np.uint64)
+def pieces(h: np.ndarray, rows: np.ndarray, length: int, gram: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, minimiser) of the pieces: windows in a row with one minimiser. Another seed has other minimisers."""
+    g = np.full(max(0, len(h) - gram + 1), seed, np.uint64)
     for k in range(gram):
         g = mix(g * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(g)])
     end = np.repeat(rows[1:], np.diff(rows))
@@ -168,6 +174,43 @@ def pieces(h: np.ndarray, rows: np.ndarray, length: int, gram: int) -> tuple[np.
     return i[start], i[stop], g[who[start]]
 
 
+def _pieces_batch(ids: pa.Array, ts: pa.Array, w: np.ndarray, lo: np.ndarray, hi: np.ndarray, m: np.ndarray, h: np.ndarray, length: int) -> pa.RecordBatch:
+    """Rows (id, t, w, m, p, words) of pieces; w: first word in the text, lo and hi: first and last window in h, p: a hash of all words."""
+    n = hi - lo + length
+    base = np.concatenate([[0], np.cumsum(n)[:-1]])
+    place = np.arange(n.sum()) - np.repeat(base, n)
+    words = h[np.repeat(lo, n) + place]
+    key = mix(np.add.reduceat(mix(words.astype(np.uint64) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), base))
+    return pa.RecordBatch.from_arrays([ids, ts, pa.array(w.astype(np.int32)), pa.array(m.view(np.int64)), pa.array(key.view(np.int64)), ragged(words.view(np.int32), n, pa.int32())], ["id", "t", "w", "m", "p", "words"])
+
+
+def _parted(length: int, gram: int, seed: int | None):
+    """Cuts pieces by another minimiser; without a seed, to single windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 5_000):
+                part = batch.slice(s, 5_000)
+                words = part.column(5)
+                rows = words.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+                h = words.values.to_numpy(zero_copy_only=False)[rows[0] : rows[-1]].view(np.uint32)
+                rows = rows - rows[0]
+                if seed is None:
+                    lo = np.flatnonzero(np.arange(len(h)) + length <= np.repeat(rows[1:], np.diff(rows)))
+                    hi, m = lo, np.zeros(len(lo), np.uint64)
+                    for k in range(length):
+                        m = mix(m * np.uint64(31) + h[lo + k].astype(np.uint64))
+                else:
+                    lo, hi, m = pieces(mix(h.astype(np.uint64)), rows, length, gram, seed)
+                if len(lo):
+                    row = np.searchsorted(rows, lo, side="right") - 1
+                    take = pa.array(row)
+                    m = mix(m + mix(part.column(3).to_numpy(zero_copy_only=False).view(np.uint64)[row]))
+                    yield _pieces_batch(part.column(0).take(take), part.column(1).take(take), part.column(2).to_numpy(zero_copy_only=False)[row] + lo - rows[row], lo, hi, m, h, length)
+
+    return run
+
+
 def _list(x: list) -> pa.Array:
     return pa.array(x, pa.list_(pa.int32()))
 
@@ -180,14 +223,15 @@ def ranges(hit: np.ndarray) -> list[int]:
     return out.tolist()
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, in_memory: int = IN_MEMORY) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, in_memory: int = IN_MEMORY, most_pieces: int = MOST_PIECES) -> DataFrame:
     """(doc_id, start_word, n_words, first): the passages made of windows of `length` words that occur more than once.
 
     Words are cut at white space and compared as they are. first is true for
     passages of first occurrences: by id, then place in the text. A passage
     where first is false can be cut out without loss of the first occurrence.
     Two passages of one document may overlap if one is first and the other
-    isn't. Null texts, null ids and texts shorter than the window have none;
+    isn't. length may be any whole number of gram words or more. Ids are whole
+    numbers. Null texts, null ids and texts shorter than the window have none;
     repeated rows of one id and text count once, rows of one id with different
     texts as one id's texts, in the order of a hash. An empty table gives an
     empty one.
@@ -213,20 +257,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 h, _, _, rows = ws_words(b, o)
                 lo, hi, m = pieces(h, rows, length, gram)
                 hit = np.flatnonzero(probe(held.value, bits, m.view(np.int64))) if len(m) else np.zeros(0, np.int64)
-                if not len(hit):
-                    continue
-                lo, hi, m = lo[hit], hi[hit], m[hit]
-                n = hi - lo + length
-                row = np.searchsorted(rows, lo, side="right") - 1
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                words = h[at]
-                key = np.zeros(len(lo), np.uint64)  # a hash of the whole piece
-                place = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-                key = mix(np.add.reduceat(mix(words + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.concatenate([[0], np.cumsum(n)[:-1]])))
-                take = pa.array(row + r0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((lo - rows[row]).astype(np.int32)), pa.array(m.view(np.int64)), pa.array(key.view(np.int64)), ragged((words >> np.uint64(32)).astype(np.uint32).view(np.int32), n, pa.int32())], ["id", "t", "w", "m", "p", "words"])
-
-    found = scratch.table(text.mapInArrow(emit, "id long, t long, w int, m long, p long, words array<int>"))
+                if len(hit):
+                    row = np.searchsorted(rows, lo[hit], side="right") - 1
+                    take = pa.array(row + r0)
+                    yield _pieces_batch(batch.column(0).take(take), batch.column(1).take(take), lo[hit] - rows[row], lo[hit], hi[hit], m[hit], (h >> np.uint64(32)).astype(np.uint32), length)
+
+    kind = "id long, t long, w int, m long, p long, words array<int>"
+    found = scratch.table(text.mapInArrow(emit, kind))
+    for seed in (*SEEDS, None):
+        many = scratch.table(found.groupBy("m", "p").agg(F.lit(1).alias("one")).groupBy("m").count().where(F.col("count") > most_pieces).select("m"))
+        if many.isEmpty():
+            break
+        hot = found.join(many, "m", "left_semi").select(*found.columns)
+        found = scratch.table(found.join(many, "m", "left_anti").select(*found.columns).unionByName(hot.mapInArrow(_parted(length, gram, seed), kind)))
     where = F.struct("id", "t", "w")
     kinds = found.groupBy("m", "p").agg(F.min(where).alias("at"), F.when(F.min(where) == F.max(where), 1).otherwise(2).alias("n"), F.first("words").alias("words"))
     total = found.count()

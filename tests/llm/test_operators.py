@@ -340,6 +340,29 @@ def test_suffix_repeats(spark, in_memory):
     assert got == brute_repeats(rows, 10)
 
 
+@pytest.mark.parametrize("length", [255, 256, 300])
+def test_suffix_repeats_of_long_windows(spark, length):
+    rng = random.Random(21)
+    shared = words(rng, 400)
+    rows = [(i, " ".join([words(rng, 30 + i), shared, words(rng, 20)]), "s") for i in range(3)]
+    got = sorted(tuple(r) for r in suffix_dedup.repeats(frame(spark, rows), length=length).collect())
+    assert got == brute_repeats(rows, length) and len(got) == 3
+
+
+@pytest.mark.parametrize("seeds", [suffix_dedup.SEEDS, ()])
+def test_suffix_repeats_of_a_frequent_minimiser(spark, monkeypatch, seeds):
+    """One phrase in all texts, amid unlike words in most and like ones in some."""
+    monkeypatch.setattr(suffix_dedup, "SEEDS", seeds)
+    rng = random.Random(22)
+    phrase, like = words(rng, 4), [words(rng, 9), words(rng, 9)]
+    rows = []
+    for i in range(150):
+        around = like if i % 7 == 0 else [words(rng, 9), words(rng, 9)]
+        rows.append((i, " ".join([words(rng, rng.randrange(5)), around[0], phrase, around[1], words(rng, 3)]).strip(), "s"))
+    got = sorted(tuple(r) for r in suffix_dedup.repeats(frame(spark, rows), length=10, gram=4, most_pieces=5).collect())
+    assert got == brute_repeats(rows, 10) and len(got) > 20
+
+
 def test_suffix_array_construction(tmp_path):
     rng = np.random.default_rng(3)
     n = rng.integers(1, 12, 20)
