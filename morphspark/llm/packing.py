@@ -5,7 +5,8 @@ pieces by best-fit decreasing and computes lower bounds from dual-feasible
 functions on its histogram of sizes. Where bins and bound agree the packing is
 optimal and stays. Partitions with a gap give up the documents of bins that
 aren't full; those meet in new partitions and are packed again. A round that
-saves no bin is the last.
+saves no bin is the last. What full bins keep and what is given up count as two
+parts, so the bins and bounds of all parts add up at any time.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from .mixing import n_words
 
 CAPACITY = 2048
 ITEMS_PER_PARTITION = 100_000
-ROUNDS = 4
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -69,12 +69,14 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     return out, bins
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, items_per_partition: int = ITEMS_PER_PARTITION, rounds: int = ROUNDS, sizes: DataFrame | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, items_per_partition: int = ITEMS_PER_PARTITION, sizes: DataFrame | None = None) -> DataFrame:
     """(doc_id, start_token, n_tokens, bin_id, part, part_bins, part_bound) of every piece of every document.
 
     A document of more than `capacity` white-space words is cut at multiples of
-    it. part_bound is the least number of bins that the pieces of the bin's
-    partition need; part_bins is what they took. A null or empty text has no
+    it. Every bin is in one part; part_bins is the number of the part's bins and
+    part_bound the least number that its pieces need. A full piece is a bin and
+    a part by itself, part null. Repacking goes on until it saves no bin. Ids
+    are whole numbers. A null or empty text has no
     tokens: one row, bin_id and the part columns null. Repeated rows and ties
     are packed each for itself; a null id is packed like any other. An empty
     table gives an empty one.
@@ -88,39 +90,47 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     items = sizes.where("n > 0").select("doc_id", "n", "row", starts.alias("start_token")).select("doc_id", "row", "start_token", F.least(F.col("n") - F.col("start_token"), F.lit(capacity)).cast("long").alias("n_tokens"))
     n = sizes.agg(F.sum(F.ceil(F.col("n") / capacity))).first()[0] or 0
     full = items.where(F.col("n_tokens") == capacity).select("doc_id", "start_token", "n_tokens", F.concat(F.lit("full-"), F.col("row"), F.lit("-"), F.col("start_token")).alias("bin_id"), F.lit(None).cast("long").alias("part"), F.lit(1).cast("long").alias("part_bins"), F.lit(1).cast("long").alias("part_bound"))
-    kind = "doc_id long, start_token long, n_tokens long, bin_id string, part long, part_bins long, part_bound long, open boolean"
-    arrow = pa.schema([("doc_id", pa.int64()), ("start_token", pa.int64()), ("n_tokens", pa.int64()), ("bin_id", pa.string()), ("part", pa.int64()), ("part_bins", pa.int64()), ("part_bound", pa.int64()), ("open", pa.bool_())])
+    kind = "doc_id long, row long, start_token long, n_tokens long, bin_id string, part long, part_bins long, part_bound long, open boolean"
+    arrow = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start_token", pa.int64()), ("n_tokens", pa.int64()), ("bin_id", pa.string()), ("part", pa.int64()), ("part_bins", pa.int64()), ("part_bound", pa.int64()), ("open", pa.bool_())])
+    shown = ["doc_id", "start_token", "n_tokens", "bin_id", "part", "part_bins", "part_bound"]
 
     def packer(turn: int):
         def run(t: pa.Table) -> pa.Table:
-            t = t.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("start_token", "ascending")])
+            t = t.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("row", "ascending"), ("start_token", "ascending")])
             size, part = t.column("n_tokens").to_numpy(), t.column("part")[0].as_py()
             bins, used = best_fit(size, capacity)
             bound = lower_bound(size, capacity)
             load = np.bincount(bins, weights=size, minlength=used)
-            same = lambda x: pa.array(np.full(len(t), x, np.int64))
-            return pa.Table.from_arrays([t.column("doc_id"), t.column("start_token"), t.column("n_tokens"), pa.array([f"{turn}-{part}-{b}" for b in bins]), same(part), same(used), same(bound), pa.array((used > bound) & (load[bins] < capacity))], schema=arrow)
+            gone = (used > bound) & (load[bins] < capacity)
+            lost = int((load < capacity).sum()) if used > bound else 0
+            if lost:  # full bins need no fewer, whatever they hold
+                took, least = np.where(gone, lost, used - lost), np.where(gone, lower_bound(size[gone], capacity), used - lost)
+            else:
+                took, least = np.full(len(t), used), np.full(len(t), bound)
+            return pa.Table.from_arrays([t.column("doc_id"), t.column("row"), t.column("start_token"), t.column("n_tokens"), pa.array([f"{turn}-{part}-{b}" for b in bins]), pa.array((turn << 40 | part << 1) + gone.astype(np.int64)), pa.array(took.astype(np.int64)), pa.array(least.astype(np.int64)), pa.array(gone)], schema=arrow)
 
         return run
 
     def packed(rows: DataFrame, many: int, turn: int) -> DataFrame:
-        cols = rows.select("doc_id", "start_token", "n_tokens", F.pmod(F.xxhash64(F.lit(turn), "doc_id", "start_token"), F.lit(many)).alias("part"))
+        cols = rows.select("doc_id", "row", "start_token", "n_tokens", F.pmod(F.xxhash64(F.lit(turn), "row", "start_token"), F.lit(many)).alias("part"))
         return scratch.table(cols.groupBy("part").applyInArrow(packer(turn), kind))
 
     short = items.where(F.col("n_tokens") < capacity)
     state = packed(short, max(1, -(-n // items_per_partition)), 0)
-    done = [full, state.where("not open").drop("open")]
-    left = state.where("open")
-    for turn in range(1, rounds + 1):
-        before = left.agg(F.count("*"), F.countDistinct("bin_id")).first()
-        if not before[0]:
+    done = [full, state.where("not open").select(*shown)]
+    left, turn = state.where("open"), 0
+    bins_of = lambda t: t.agg(F.count("*"), F.countDistinct("bin_id")).first()
+    many, before = bins_of(left)
+    while many:
+        turn += 1
+        again = packed(left, max(1, -(-many // items_per_partition)), turn)
+        _, after = bins_of(again)
+        if after >= before:
             break
-        again = packed(left, max(1, -(-before[0] // items_per_partition)), turn)
-        if again.agg(F.countDistinct("bin_id")).first()[0] >= before[1]:
-            break
-        done.append(again.where("not open").drop("open"))
+        done.append(again.where("not open").select(*shown))
         left = again.where("open")
-    done.append(left.drop("open"))
+        many, before = bins_of(left)
+    done.append(left.select(*shown))
     none = sizes.where("n <= 0").select("doc_id", F.lit(0).cast("long").alias("start_token"), F.lit(0).cast("long").alias("n_tokens"), *[F.lit(None).cast(k).alias(c) for c, k in (("bin_id", "string"), ("part", "long"), ("part_bins", "long"), ("part_bound", "long"))])
     out = none
     for d in done:

@@ -214,6 +214,53 @@ def test_lower_bound_never_exceeds_the_optimum():
         assert packing.lower_bound(np.array(sizes), 20) <= optimum(sizes)
 
 
+def test_best_fit_against_the_rule_and_the_optimum():
+    def by_rule(sizes, capacity):
+        rooms, out = [], {}
+        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+            fits = [r for r in rooms if r >= sizes[i]]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else capacity) - sizes[i])
+            out[i] = len(rooms)
+        return len(rooms)
+
+    def optimum(sizes, rooms=()):
+        if not sizes:
+            return len(rooms)
+        s, rest, best = sizes[0], sizes[1:], 99
+        for k, r in enumerate(rooms):
+            if r >= s:
+                best = min(best, optimum(rest, (*rooms[:k], r - s, *rooms[k + 1 :])))
+        return min(best, optimum(rest, (*rooms, 20 - s)))
+
+    rng = random.Random(14)
+    for _ in range(60):
+        sizes = [rng.randint(1, 20) for _ in range(7)]
+        used = packing.best_fit(np.array(sizes), 20)[1]
+        assert used == by_rule(sizes, 20)
+        assert optimum(sorted(sizes, reverse=True)) <= used <= 11 / 9 * optimum(sorted(sizes, reverse=True)) + 1
+
+
+def test_packing_certificates_add_up(spark):
+    """Hard sizes in small parts, one id for all rows, so that several turns repack them."""
+    rng = random.Random(15)
+    rows = [(1, words(rng, rng.choice([700, 683, 1024, 1025, 341, 900, 410, 2048, 4100])), "s") for _ in range(400)]
+    got = packing.pack(frame(spark, rows), items_per_partition=20).collect()
+    assert sum(r.n_tokens for r in got) == sum(len(t.split()) for _, t, _ in rows)
+    bins, sizes, said = defaultdict(set), defaultdict(list), {}
+    for r in got:
+        p = r.bin_id if r.part is None else r.part
+        bins[p].add(r.bin_id)
+        sizes[p].append(r.n_tokens)
+        assert said.setdefault(p, (r.part_bins, r.part_bound)) == (r.part_bins, r.part_bound)
+    for p, (took, least) in said.items():
+        assert took == len(bins[p]) and packing.lower_bound(np.array(sizes[p]), packing.CAPACITY) == least <= took
+    assert sum(t for t, _ in said.values()) == len({r.bin_id for r in got})
+    assert max(Counter(np.repeat([r.bin_id for r in got], [r.n_tokens for r in got])).values()) <= packing.CAPACITY
+    assert len({r.part >> 40 for r in got if r.part is not None}) > 1
+
+
 def test_packing(spark):
     rng = random.Random(6)
     rows = [(i, words(rng, rng.choice([0, 3, 40, 700, 1500, 2048, 5000])), "s") for i in range(300)]
