@@ -308,18 +308,21 @@ def test_packing_full_pieces_of_repeated_and_null_ids(spark):
 # 4 line dedup
 
 
-def brute_lines(rows, run=3):
+def brute_lines(rows, run=3, least=25):
     seen, out = set(), []
     for i, t, _ in sorted(rows):
         if t is None:
             out.append((i, None, 0))
             continue
         every, gone = t.split("\n"), set()
-        for k in range(len(every) - run + 1):
-            g = tuple(every[k : k + run])
-            if g in seen:
-                gone.update(range(k, k + run))
-            seen.add(g)
+        for k in range(len(every)):
+            for n in range(1, min(run, len(every) - k) + 1):
+                g = tuple(every[k : k + n])
+                if n < run and sum(c.isalnum() for c in "".join(g)) < least:
+                    continue
+                if g in seen:
+                    gone.update(range(k, k + n))
+                seen.add(g)
         out.append((i, "\n".join(x for k, x in enumerate(every) if k not in gone), len(gone)))
     return out
 
@@ -332,6 +335,8 @@ def test_line_dedup(spark):
         lines = [f"line {rng.randrange(40)}" for _ in range(rng.randrange(0, 12))]
         if rng.random() < 0.5:
             lines[2:2] = block[: rng.randrange(2, 6)]
+        if rng.random() < 0.4:
+            lines.insert(rng.randrange(len(lines) + 1), rng.choice(["one line that is long enough to count by itself", "zwölf lange Wörter, äöü", "half as long as need", "thirteen more"]))
         rows.append((i, "\n".join(lines) if i % 17 else None, "s"))
     got = sorted((tuple(r) for r in line_dedup.line_dedup(frame(spark, rows)).collect()), key=lambda r: r[0])
     assert got == brute_lines(rows)
