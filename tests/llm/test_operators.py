@@ -512,11 +512,61 @@ def test_quality_on_held_out_documents(spark):
     assert np.mean([r.good == (r.y == 1) for r in got]) >= 0.85
 
 
+def test_quality_against_enumeration():
+    """Document quality, lines and bad lines from all labellings of a small text."""
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    f = quality.Field(np.zeros((0, quality.N_OWN)), np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int64))
+    f.w, f.trans = rng.standard_normal(len(f.w)), rng.standard_normal((2, 2))
+    texts = ["One line.\n\n&&& *** $$$\nanother line, of words\nOne line.", "", " \n\t", "x"]
+    got = f.quality(pa.array(texts))
+    for k, text in enumerate(texts):
+        b = np.frombuffer(text.encode(), np.uint8)
+        x, n, rows = quality.features(b, np.array([0, len(b)]))
+        each = text.split("\n")
+        assert n.tolist() == [len(v.replace(" ", "").replace("\t", "")) for v in each] and got[1][k] == len(each)
+        u = quality.with_neighbours(x, rows) @ f.w
+        total, top = 0.0, np.zeros(len(each))
+        for y in product((0, 1), repeat=len(each)):
+            p = np.exp(np.dot(u, y) + sum(f.trans[a, c] for a, c in zip(y, y[1:])))
+            total, top = total + p, top + p * np.array(y)
+        if n.sum():
+            assert abs(got[0][k] - (top / total * n).sum() / n.sum()) < 1e-5
+            assert got[2][k] == ((top / total < 0.5) & (n > 0)).sum()
+        else:
+            assert np.isnan(got[0][k])
+
+
+def test_quality_tells_lines_of_mixed_documents(spark):
+    """Fitted on even ids; junk of unseen bad documents set into unseen good ones."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    field = quality.train(docs, labels.where("doc_id % 2 = 0"))
+    held = docs.join(labels.where("doc_id % 2 = 1").select("doc_id", "quality"), "doc_id").where("text is not null").orderBy("doc_id").collect()
+    good, bad = ([r.text.split("\n") for r in held if r.quality == k and r.text.count("\n") >= 4] for k in (1, 0))
+    rng = random.Random(4)
+    texts, truth = [], []
+    for _ in range(200):
+        g, j = rng.choice(good), rng.choice(bad)
+        k, a = rng.randrange(1, len(g)), rng.randrange(0, len(j) - 3)
+        texts.append("\n".join(g[:k] + j[a : a + 4] + g[k:]))
+        truth += [1] * k + [0] * 4 + [1] * (len(g) - k)
+    said, size = [], []
+    for text in texts:
+        b = np.frombuffer(text.encode(), np.uint8)
+        p, n, _ = field.lines(b, np.array([0, len(b)]))
+        said.append(p >= 0.5)
+        size.append(n)
+    said, truth, some = np.concatenate(said), np.array(truth) == 1, np.concatenate(size) > 0
+    assert said[some & truth].mean() >= 0.95 and said[some & ~truth].mean() <= 0.1
+
+
 def test_quality_odd(spark):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, 0), (None, 1, 0), (8, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.quality(odd(spark), labels).collect()
     assert len(got) == odd(spark).count()
-    assert all((r.quality is None and not r.good) == (r.doc_id in (2, 3, 4) or r.quality is None) for r in got)
+    assert all((r.quality is None) == (r.doc_id in (2, 3, 4, 5) or (r.doc_id is None and r.n_lines == 1 and r.quality is None)) for r in got) and not any(r.good for r in got if r.quality is None)
     assert {r.quality for r in quality.quality(odd(spark), labels.limit(0)).where("doc_id = 1").collect()} == {0.5}
     assert quality.quality(empty(spark), labels).count() == 0
 
