@@ -2,9 +2,13 @@
 
 The network is trained in numpy on labelled spans: texts in which addresses,
 numbers and keys of many shapes are set between invented words. Whole texts are
-read in overlapping windows; each window is decoded by itself, every character
-takes its tag from the window that shows most of its surroundings, and runs of
-one tag across windows become one span.
+read in overlapping windows. Where two overlap their scores are averaged, more
+weight on the one that shows more around, and one best path is taken over the
+whole text. Only stretches whose scores make up for the transitions that a span costs can
+hold one, so the path need be searched only there.
+
+`python -m morphspark.llm.pii` trains the network and saves its weights beside
+this module; they are read from there.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +28,9 @@ from ._text import chunks
 KINDS = ["EMAIL", "PHONE", "IP", "CARD", "SECRET", "SSN"]
 TAGS = len(KINDS) + 1  # 0: none
 HIDDEN = 8
-WINDOW, OVERLAP = 512, 64
-TRAINING = 4_000
+WINDOW, OVERLAP = 768, 96
+TRAINING = 6_000
+WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 
 # Characters: printable ASCII each for itself, then other small letters, capitals, digits, white space, all else.
 _CLASS = np.full(0x110000 >> 0, 104, np.uint8)
@@ -61,26 +67,60 @@ def _plain(r: random.Random) -> str:
     ])()
 
 
+def _name(r: random.Random) -> str:
+    """A small-letter piece of an address: letters, digits or both."""
+    x = r.random()
+    w = "".join(c for c in _word(r).lower() if c.isascii() and c.isalpha()) or "x"
+    return w if x < 0.55 else w + _digits(r, r.randint(1, 4)) if x < 0.75 else _digits(r, r.randint(1, 4)) if x < 0.85 else r.choice("abcdefghijklmnopqrstuvwxyz") if x < 0.95 else _digits(r, 1) + w
+
+
+def _email(r: random.Random) -> str:
+    local = "".join(x for k in range(r.choice([1, 1, 2, 2, 3])) for x in ((r.choice("._-+") if k else ""), _name(r)))
+    host = ".".join("-".join(_name(r) for _ in range(r.choice([1, 1, 1, 2]))) for _ in range(r.choice([1, 1, 2, 2, 3])))
+    end = r.choice(["com", "org", "net", "info", "de", "fr", "es", "co.uk", "io", "edu", "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 4)))])
+    mail = f"{local}@{host}.{end}"
+    return mail.upper() if r.random() < 0.03 else mail
+
+
+def _phone(r: random.Random) -> str:
+    sizes = r.choice([(3, 3, 4), (3, 3, 4), (3, 3, 4), (2, 4, 4), (3, 4), (4, 3, 3), (2, 2, 2, 2, 2), (1, 4, 4), (5, 6), (3, 7)])
+    groups = [_digits(r, n) for n in sizes]
+    mark = r.choice([" ", "-", "-", "."])
+    if r.random() < 0.4:
+        groups[0] = f"({groups[0]})"
+        body = groups[0] + r.choice([" ", " ", ""]) + mark.join(groups[1:])
+    else:
+        body = mark.join(groups)
+    code = r.choice(["", "", f"+{r.randint(1, 9)}", f"+{r.randint(1, 99)}", f"+{r.randint(1, 399)}", f"00{r.randint(1, 99)}"])
+    return code + (r.choice([" ", " ", mark]) if code else "") + body if len(sizes) > 2 or code else "0" + body
+
+
+def _secret(r: random.Random) -> str:
+    signs = r.choice(["0123456789abcdef", "0123456789abcdef", "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])
+    body = "".join(r.choice(signs) for _ in range(r.randint(20, 64)))
+    return (r.choice(["sk-", "ghp_", "AKIA", "xoxb-", "pk_live_"]) if r.random() < 0.2 else "") + body
+
+
 def _private(r: random.Random) -> tuple[str, str, str, int]:
     """(before, span, after, tag)."""
     k = r.randint(1, TAGS - 1)
     kind = KINDS[k - 1]
     if kind == "EMAIL":
-        local = r.choice([lambda: _word(r).lower(), lambda: f"{_word(r).lower()}.{_digits(r, 2)}", lambda: f"{_word(r).lower()}{r.choice('._-')}{_word(r).lower()}", lambda: f"{_word(r).lower()}{r.randint(1, 999)}", lambda: f"{r.choice('abcdefghijklmn')}.{_word(r).lower()}"])()
-        host = r.choice([lambda: f"mail{r.randint(0, 9)}.example", lambda: _word(r).lower(), lambda: f"{_word(r).lower()}.{_word(r).lower()}", lambda: f"{_word(r).lower()}-{_word(r).lower()}", lambda: "example"])()
-        return r.choice(["", "", "", "<", "(", "mailto:"]), f"{local}@{host}.{r.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'co.uk', 'io', 'edu'])}", "", k
+        return r.choice(["", "", "", "<", "(", "mailto:"]), _email(r), "", k
     if kind == "PHONE":
-        a, b, c = _digits(r, 3), _digits(r, 3), _digits(r, 4)
-        return "", r.choice([f"+1 ({a}) {b}-{c}", f"+1 ({a}) 555-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{r.randint(1, 99)} {a} {b} {c}", f"+1-{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{r.randint(10, 99)} {r.randint(1, 99)} {_digits(r, 4)} {c}"]), "", k
+        return r.choice(["", "", "", "", "tel. ", "phone: ", "(", "call "]), _phone(r), "", k
     if kind == "IP":
-        return "", ".".join(str(r.randint(0, 255)) for _ in range(4)), "", k
+        return "", ".".join(str(r.randint(0, 255)) for _ in range(4)), r.choice(["", "", "", f":{r.randint(1, 65535)}", "/"]), k
     if kind == "CARD":
-        n = _digits(r, 16)
-        return "", r.choice([n, n, n, " ".join(n[i : i + 4] for i in range(0, 16, 4)), "-".join(n[i : i + 4] for i in range(0, 16, 4))]), "", k
+        n = _digits(r, r.choice([16, 16, 16, 15, 14, 13]))
+        if len(n) != 16 or r.random() < 0.5:
+            return "", n, "", k
+        mark = r.choice(" -")
+        return "", mark.join(n[i : i + 4] for i in range(0, 16, 4)), "", k
     if kind == "SECRET":
-        quote = r.choice(['"', '"', '"', "'", ""])
-        made = r.choice([lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 40, 40, 64]))), lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)), lambda: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(r.randint(24, 44))), lambda: r.choice(["sk-", "ghp_", "AKIA"]) + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789abcdef") for _ in range(r.randint(16, 36)))])()
-        return r.choice(["token = ", "token = ", "token=", "api_key = ", "key: ", "secret = ", "password: ", ""]) + quote, made, quote, k
+        quote = r.choice(['"', '"', "'", "`", ""])
+        said = r.choice(["token", "api_key", "apiKey", "key", "secret", "password", "passwd", "auth", "bearer", "access_token", "SECRET_KEY", _word(r).lower(), ""])
+        return (said + r.choice([" = ", "=", ": ", " := ", ": ", " "]) if said else "") + quote, _secret(r), quote, k
     return "", f"{_digits(r, 3)}-{_digits(r, 2)}-{_digits(r, 4)}", "", k
 
 
@@ -269,8 +309,8 @@ class Tagger:
             out[t, :, :k] = o @ hid
         return out
 
-    def decode(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """(window, tags) of the windows whose best path isn't none throughout. Windows: places in codes, longest first."""
+    def scores(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Scores, time x tags x windows, from both directions. Windows: places in codes, longest first."""
         n, m = int(size[0]), len(size)
         live = np.searchsorted(-size, -np.arange(1, n + 1), side="right")
         t = np.arange(n)[:, None]
@@ -290,12 +330,83 @@ class Tagger:
             x[:, :full] += eb[n - 1 - i, :, :full]
             if k > full:
                 x[:, full:] += eb[size[full:k] - 1 - i, :, w[full:k]].T
-        out: list[tuple[int, np.ndarray]] = []
-        for s in range(0, m, 512):
-            part = slice(s, s + 512)
-            out += [(s + j, x) for j, x in enumerate(self._best(e[: size[s], :, part], size[part])) if x.any()]
+        return e
+
+    def reconciled(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Scores of every character, characters x tags: averages where windows overlap. at: offsets of the texts in codes."""
+        n = np.diff(at)
+        stride = WINDOW - OVERLAP
+        many = np.where(n > 0, np.maximum(1, -(-(n - OVERLAP) // stride)), 0)
+        row = np.repeat(np.arange(len(n)), many)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        start = at[row] + k * stride
+        size = np.minimum(WINDOW, at[row + 1] - start)
+        out = np.zeros((len(codes), TAGS), np.float32)
+        order = np.argsort(-size, kind="stable")
+        more = (k < many[row] - 1)[order]
+        k, start, size = k[order], start[order], size[order]
+        for s in range(0, len(row), 2048):
+            part = slice(s, s + 2048)
+            e, st, sz = self.scores(codes, start[part], size[part]), start[part], size[part]
+            t = np.arange(len(e))[:, None]
+            weight = np.ones((len(e), len(sz)), np.float32)
+            np.minimum(weight, (t + 0.5) / OVERLAP, out=weight, where=k[part] > 0)
+            np.minimum(weight, (sz - t - 0.5) / OVERLAP, out=weight, where=more[part])
+            for odd in (0, 1):  # windows of one parity don't overlap
+                w = np.flatnonzero(k[part] % 2 == odd)
+                if len(w):
+                    each = (e[:, :, w] * weight[:, None, w]).transpose(2, 0, 1).reshape(-1, TAGS)
+                    place = (st[w][:, None] + np.arange(len(e))).ravel()
+                    inside = (np.arange(len(e)) < sz[w][:, None]).ravel()
+                    out[place[inside]] += each[inside]
         return out
 
+    def best_tags(self, g: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The tags of the best path over each text. g: scores, characters x tags; at: offsets of the texts."""
+        t = self.p["t"].astype(np.float64)
+        own = np.diag(t)[1:]
+        # A run of one kind costs transitions; only in a stretch whose scores make up for them can there be one.
+        cost = (own + t[0, 0] - t[1:, 0] - t[0, 1:]).min()
+        at_start, at_end, whole = (own - t[1:, 0]).min(), (own - t[0, 1:]).min(), (own - t[0, 0]).min()
+        top = g[:, 1].copy()
+        for k in range(2, TAGS):
+            np.maximum(top, g[:, k], out=top)
+        gain = (top - g[:, 0]).astype(np.float64) + max(0.0, (own - t[0, 0]).max())
+        n = np.diff(at)
+        some = np.flatnonzero(n)
+        gain[at[some]] += max(cost - at_start, (cost - whole) / 2)
+        gain[at[some + 1] - 1] += max(cost - at_end, (cost - whole) / 2)
+        total = np.zeros(len(g) + len(n))  # sums of each text from a nought of its own, each text far below the one before
+        place = np.arange(len(g)) + np.repeat(np.arange(len(n)), n) + 1
+        total[place] = gain
+        total = np.cumsum(total) - 1e9 * np.repeat(np.arange(len(n)), n + 1)
+        low, high = np.minimum.accumulate(total), np.maximum.accumulate(total[::-1])[::-1]
+        free = high[place] - low[place - 1] > cost - 0.05
+        tags = np.zeros(len(g), np.int8)
+        if not free.any():
+            return tags
+        edge = np.zeros(len(g) + 1, bool)
+        edge[at] = True
+        start = np.flatnonzero(free & (edge[:-1] | ~np.concatenate([[False], free[:-1]])))
+        end = np.flatnonzero(free & (edge[1:] | ~np.concatenate([free[1:], [False]]))) + 1
+        order = np.argsort(start - end, kind="stable")
+        start, end = start[order], end[order]
+        size = end - start
+        s = 0
+        while s < len(start):
+            part = slice(s, s + max(1, min(2048, 4_000_000 // int(size[s]))))
+            n, st = size[part], start[part]
+            i = np.arange(int(n[0]))[:, None]
+            e = np.ascontiguousarray(g[np.minimum(st + i, len(g) - 1)].transpose(0, 2, 1))
+            w = np.flatnonzero(~edge[st])
+            e[0][:, w] += self.p["t"][0][:, None]
+            w = np.flatnonzero(~edge[end[part]])
+            e[n[w] - 1, :, w] += self.p["t"][:, 0]
+            for j, path in enumerate(self._best(e, n)):
+                tags[st[j] : st[j] + n[j]] = path
+            s = part.stop
+        return tags
+
     def _best(self, e: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
         """The best path of each window. e: time x tags x windows, longest first.
 
@@ -333,25 +444,9 @@ class Tagger:
         text = b.tobytes().decode("utf-8", "replace")
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         at = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])[offsets]
-        n = np.diff(at)
-        stride = WINDOW - OVERLAP
-        many = np.where(n > 0, np.maximum(1, -(-(n - OVERLAP) // stride)), 0)
-        row = np.repeat(np.arange(len(n)), many)
-        if not len(row):
+        if not len(codes):
             return []
-        k = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-        start = at[row] + k * stride
-        size = np.minimum(WINDOW, at[row + 1] - start)
-        order = np.argsort(-size, kind="stable")
-        row, k, start, size = row[order], k[order], start[order], size[order]
-        tags = np.zeros(len(codes), np.int8)
-        for s in range(0, len(row), 2048):
-            part = slice(s, s + 2048)
-            for j, found in self.decode(codes, start[part], size[part]):
-                j += s
-                lo = 0 if k[j] == 0 else OVERLAP // 2
-                hi = size[j] if k[j] == many[row[j]] - 1 else size[j] - OVERLAP // 2
-                tags[start[j] + lo : start[j] + hi] = found[lo:hi]
+        tags = self.best_tags(self.reconciled(codes, at), at)
         if not tags.any():
             return []
         first = np.zeros(len(codes) + 1, bool)
@@ -365,8 +460,7 @@ class Tagger:
         return out
 
 
-@lru_cache(maxsize=2)
-def trained(n: int = TRAINING, seed: int = 11, epochs: int = 20) -> Tagger:
+def train(n: int = TRAINING, seed: int = 11, epochs: int = 20) -> Tagger:
     """A tagger trained on n labelled texts."""
     t = Tagger()
     t.fit(labelled(n, seed), epochs)
@@ -374,10 +468,24 @@ def trained(n: int = TRAINING, seed: int = 11, epochs: int = 20) -> Tagger:
     return t
 
 
+@lru_cache(maxsize=1)
+def trained() -> Tagger:
+    """The tagger with the weights that train() gave and save() wrote."""
+    t = Tagger()
+    with np.load(WEIGHTS, allow_pickle=False) as f:
+        t.p = {k: f[k] for k in f.files}
+    t.ready()
+    return t
+
+
+def save(t: Tagger, path: Path = WEIGHTS) -> None:
+    np.savez_compressed(path, **t.p)
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, kind, span) of all personal data: places in characters, end excluded.
 
-    Whole texts are read. Null, empty and clean texts have no rows; repeated
+    Whole texts are read. Ids are whole numbers. Null, empty and clean texts have no rows; repeated
     rows each have theirs; null ids are carried. An empty table gives an empty
     one.
     """
@@ -393,3 +501,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     id_ = F.col(f"`{id_col}`")
     return docs.where(F.col(f"`{text_col}`").isNotNull()).select(id_.cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, start int, end int, kind string, span string")
+
+
+if __name__ == "__main__":
+    save(train())
