@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._scratch import Scratch
 from ._text import _LETTER, chunks, hashes, lower, lower_words, mix, prefix_hashes, ragged, row_sums, spans, word_hash
 
 LEXICON = {
@@ -37,6 +38,10 @@ MOST_TRAINING = 8_000
 MOST_LABELLED, MOST_STEMS = 4_000, 4_000
 STEMS = (4, 5, 6, 7, 8)  # bytes
 REPEATED = (5, 7)
+#: A word beginning also counts if it comes so many times in a stretch of so many words, however long the text.
+CROWD, STRETCH = 4, 250
+#: Candidates for the training sample are drawn so many times as often as would do if voters fired on all documents.
+OVERDRAW = 32
 NO_STEMS = np.zeros(0, np.uint64)
 
 _GROUPS = {word_hash(w): k for k, words in enumerate(LEXICON.values()) for w in words.split()}
@@ -59,7 +64,7 @@ def _lookup(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _often(b: np.ndarray, words, sizes: tuple[int, ...], least: int, words_each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, times) of the word beginnings that a row has `least` times or more, and once in words_each words at least."""
+    """(row, hash, times) of the word beginnings that a row has `least` times or more, and once in words_each words at least or crowded in a stretch."""
     _, s, e, rows = words
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     out = []
@@ -69,7 +74,12 @@ def _often(b: np.ndarray, words, sizes: tuple[int, ...], least: int, words_each:
         first = np.flatnonzero(np.concatenate([[True], (h[at][1:] != h[at][:-1]) | (row[at][1:] != row[at][:-1])])) if len(at) else np.zeros(0, np.int64)
         times = np.diff(np.append(first, len(at)))
         r = row[at[first]]
-        ok = (times >= least) & (times * words_each >= np.diff(rows)[r])
+        close = np.zeros(len(at) + 1, np.int64)  # crowds that begin at each occurrence
+        if len(at) >= CROWD:
+            i = np.arange(len(at) - CROWD + 1)
+            close[i] = (at[i + CROWD - 1] - at[i] < STRETCH) & (np.searchsorted(first, i, side="right") == np.searchsorted(first, i + CROWD - 1, side="right"))
+        crowded = np.add.reduceat(close, first) > 0 if len(first) else np.zeros(0, bool)
+        ok = (times >= least) & ((times * words_each >= np.diff(rows)[r]) | crowded)
         out.append((r[ok], h[at[first]][ok], times[ok]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
@@ -115,8 +125,14 @@ def votes(b: np.ndarray, offsets: np.ndarray, words=None, known: np.ndarray = NO
         hit = np.zeros(len(h), bool)
         for x in prefix_hashes(lower(b), s, e, STEMS):
             hit |= known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
-        times = np.bincount(np.searchsorted(rows, np.flatnonzero(hit), side="right") - 1, minlength=n)
-        times = np.where((times >= 2) & (times * 120 >= size), times, 0)
+        where = np.flatnonzero(hit)
+        of = np.searchsorted(rows, where, side="right") - 1
+        times = np.bincount(of, minlength=n)
+        crowd = np.zeros(n, bool)
+        if len(where) >= CROWD:
+            close = (where[CROWD - 1 :] - where[: 1 - CROWD] < STRETCH) & (of[CROWD - 1 :] == of[: 1 - CROWD])
+            crowd[of[: 1 - CROWD][close]] = True
+        times = np.where((times >= 2) & ((times * 120 >= size) | crowd), times, 0)
         out |= (times > 0).astype(np.int64) << (m + 5)
         total, kinds = total + np.maximum(times - 1, 0), kinds + times // 2
     out |= (total >= 2).astype(np.int64) << m
@@ -277,43 +293,43 @@ class Model:
 
 
 def train(docs: DataFrame, text_col: str = "text", most_training: int = MOST_TRAINING, labels: DataFrame | None = None, id_col: str = "doc_id") -> Model:
-    """Label model from the votes on all documents, classifier from at most about most_training of them, picked by a hash of the text: half from documents on which no voter fires."""
+    """Label model from the votes on all documents, classifier from at most about most_training of them, picked by a hash of the text: half from documents on which no voter fires. One pass counts the votes and draws candidates; the sample is taken from those when the counts are known. Of documents on which a voter fires fewer are taken if those are less than one in OVERDRAW."""
     text = docs.select(F.col(f"`{text_col}`").alias("text")).where("text is not null")
     known = NO_STEMS if labels is None else stems(docs, labels, id_col, text_col)
 
+    share = min(1.0, most_training / 2 / max(1, docs.count()))
+
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(pattern, documents, null, null) of each batch, and (pattern, null, draw, features) of candidates for the sample."""
         for batch in batches:
-            v = [votes(b, o, None, known) for _, _, b, o in chunks(batch.column(0))]
-            p, n = np.unique(np.concatenate(v) if v else np.zeros(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)), pa.array(n.astype(np.int64))], ["p", "n"])
-
-    found = text.mapInArrow(vote, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()  # at most 2 ** voters rows
+            every = []
+            for _, _, b, o in chunks(batch.column(0)):
+                words = lower_words(b, o)
+                v = votes(b, o, words, known)
+                every.append(v)
+                h, _, _, rows = words
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)])
+                draw = ((total[rows[1:]] - total[rows[:-1]]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)).astype(np.float64) / 2**53
+                at = np.flatnonzero(draw < share * np.where(v != 0, OVERDRAW, 4))
+                if len(at):
+                    cut = np.repeat(np.isin(np.arange(len(v)), at), np.diff(o))  # features of those alone
+                    size = np.diff(o)[at]
+                    few = np.concatenate([[0], np.cumsum(size)])
+                    f, n = _features(b[cut], lower_words(b[cut], few))
+                    yield pa.RecordBatch.from_arrays([pa.array(v[at]), pa.nulls(len(at), pa.int64()), pa.array(draw[at]), ragged(f, n, pa.int32())], ["p", "n", "draw", "f"])
+            p, n = np.unique(np.concatenate(every) if every else np.zeros(0, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(len(p), pa.float64()), pa.nulls(len(p), pa.list_(pa.int32()))], ["p", "n", "draw", "f"])
+
+    voted = Scratch(docs.sparkSession, "toxicity").table(text.mapInArrow(vote, "p long, n long, draw double, f array<int>"))
+    found = voted.where("n is not null").groupBy("p").agg(F.sum("n").alias("n")).collect()  # at most 2 ** voters rows
     if not found:
         return Model(np.zeros(1 << BUCKET_BITS, np.float32), -10.0, None)
     patterns, counts = np.array([r.p for r in found]), np.array([float(r.n) for r in found])
     labels = LabelModel(patterns, counts)
     post = dict(zip(patterns.tolist(), labels.posterior((patterns[:, None] >> np.arange(len(VOTERS))) & 1)))
     fires = patterns != 0
-    rate = np.where(fires, most_training / 2 / max(1.0, counts[fires].sum()), most_training / 2 / max(1.0, counts[~fires].sum()))
-    take = {int(p): min(1.0, r) for p, r in zip(patterns, rate)}
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, b, o in chunks(batch.column(0)):
-                words = lower_words(b, o)
-                v = votes(b, o, words, known)
-                h, _, _, rows = words
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)])
-                draw = (total[rows[1:]] - total[rows[:-1]]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)
-                at = np.flatnonzero(draw.astype(np.float64) / 2**53 < np.array([take.get(int(x), 1.0) for x in v]))
-                if not len(at):
-                    continue
-                f, n = _features(b, words)
-                start = np.concatenate([[0], np.cumsum(n)])
-                pick = np.concatenate([f[start[i] : start[i + 1]] for i in at])
-                yield pa.RecordBatch.from_arrays([pa.array(v[at]), ragged(pick, n[at], pa.int32())], ["p", "f"])
-
-    t = text.mapInArrow(sample, "p long, f array<int>").toArrow()
+    rate = [min(1.0, most_training / 2 / max(1.0, counts[of].sum())) for of in (~fires, fires)]
+    t = voted.where(F.col("f").isNotNull() & (F.col("draw") < F.when(F.col("p") == 0, rate[0]).otherwise(rate[1]))).select("p", "f").toArrow()  # about most_training rows
     if not len(t):
         return Model(np.zeros(1 << BUCKET_BITS, np.float32), -10.0, labels)
     rows = [np.asarray(x, np.int32) for x in t.column("f").to_pylist()]
@@ -334,7 +350,7 @@ def _scorer(docs: DataFrame, model: Model):
 def toxicity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, most_training: int = MOST_TRAINING, labels: DataFrame | None = None) -> DataFrame:
     """(doc_id, score, toxic) of every row.
 
-    Whole texts are scored. A null, empty or wordless text has no evidence
+    Whole texts are scored. Ids are whole numbers where labels are given. A null, empty or wordless text has no evidence
     and is not toxic. Repeated rows get equal scores; null ids are carried. An
     empty table gives an empty one. At most about most_training documents
     train the classifier; the label model's counts cover all. labels (the id,
@@ -346,7 +362,11 @@ def toxicity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
 
 def drop_toxic(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, most_training: int = MOST_TRAINING, labels: DataFrame | None = None) -> DataFrame:
-    """The rows that toxicity() doesn't call toxic, in the columns of the input."""
+    """The rows that toxicity() doesn't call toxic, in the columns of the input.
+
+    Null, empty and wordless texts stay, null ids too; repeated rows stay or go
+    together. An empty table gives an empty one.
+    """
     score = _scorer(docs, train(docs, text_col, most_training, labels, id_col))
     return docs.where(score(F.col(f"`{text_col}`")) < threshold)
 
