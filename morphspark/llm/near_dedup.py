@@ -4,8 +4,14 @@ Two small collections of sub-keys, U of three minhashes each and V of two, are
 computed for each document; a table's key is a pair from U x V. So 14 x 7 = 98
 tables, which would take 490 minhashes one by one, come from 56. Documents
 that share a key are candidates: in each bucket all are compared with the
-least, and then the members of different components with each other. Comparison is by the exact Jaccard
-similarity of the sets of shingles, so nothing but true pairs is united.
+least, and then the members of different components with each other, large
+buckets in blocks. Comparison is by the exact Jaccard similarity of the sets of
+shingles, so nothing but true pairs is united.
+
+Of documents with one set of shingles only the least has keys. Within a batch
+only the first document of a key carries it into the shuffle, the others are
+paired with it at once: a key or a set that a third of all documents share
+comes once a batch.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from .exact_dedup import probe, probing, repeat_filter
 SHINGLE = 2
 THRESHOLD = 0.6
 U, U_ROWS, V, V_ROWS = 14, 3, 7, 2
+BLOCK = 4096
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**63, U * U_ROWS + V * V_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,8 +81,13 @@ def _sets(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, whole: a hash of the set of shingles, keys)."""
+    """(id, text) -> (id, whole: a hash of the set of shingles, twin: the batch's least id with that set if it is another, keys, shared, heads).
+
+    shared are the keys that a document of a smaller id in the batch has too,
+    heads the least of those; keys are the others. Twins have none.
+    """
     for batch in batches:
+        got = []
         for i, j, b, o in chunks(batch.column(1)):
             x, rows = shingles(b, o)
             has = np.flatnonzero(np.diff(rows))
@@ -86,8 +98,25 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, n = _sets(x, rows)
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s.astype(np.uint64) + np.uint64(0xABCD)))])
             end = np.cumsum(n)
-            whole = mix(total[end] - total[end - n])[has]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(has)), pa.array(whole.view(np.int64)), ragged(keys.reshape(U * V, -1).T.reshape(-1).view(np.int64), np.full(len(has), U * V), pa.int64())], ["id", "whole", "keys"])
+            got.append((i + has, mix(total[end] - total[end - n])[has], keys.reshape(U * V, -1).T))
+        if not got:
+            continue
+        at, whole, keys = (np.concatenate(c) for c in zip(*got))
+        ids = batch.column(0).to_numpy(zero_copy_only=False)[at]
+        order = np.lexsort((ids, whole))
+        ids, whole, keys = ids[order], whole[order], keys[order]
+        first = np.concatenate([[True], whole[1:] != whole[:-1]])
+        head = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
+        twin = ~first & (ids != head)
+        own = np.flatnonzero(first)
+        flat, of = keys[own].ravel(), np.repeat(own, U * V)
+        order = np.lexsort((ids[of], flat))
+        start = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
+        least = np.empty(len(flat), np.int64)
+        least[order] = ids[of[order[np.flatnonzero(start)]]][np.cumsum(start) - 1]
+        extra = least != ids[of]
+        count = lambda w: np.bincount(of[w], minlength=len(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(whole.view(np.int64)), pa.array(head, mask=~twin), ragged(flat[~extra].view(np.int64), count(~extra), pa.int64()), ragged(flat[extra].view(np.int64), count(extra), pa.int64()), ragged(least[extra], count(extra), pa.int64())], ["id", "whole", "twin", "keys", "shared", "heads"])
 
 
 def _wanted(bitmap, bits):
@@ -113,26 +142,32 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least the threshold; groups are the connected components, named by their
     least id, which is the one to keep. A pair at 0.7 is found with a
     probability of 0.98, one at 0.6 with 0.92 by itself, more within a group.
-    Null, empty and wordless texts and null ids are in no group. Several rows
-    of one id count as one document if their texts agree and else are compared
-    by any one of them. A text of one word is one shingle. An empty table
+    Ids are whole numbers. Null, empty and wordless texts and null ids are in
+    no group. Several rows of one id count as one document: keys of all of them
+    find candidates, which are compared by the least of their sets. A text of one word is one shingle. An empty table
     gives an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     text = docs.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    keyed = scratch.table(text.mapInArrow(_keys, "id long, whole long, keys array<long>"))
+    keyed = scratch.table(text.mapInArrow(_keys, "id long, whole long, twin long, keys array<long>, shared array<long>, heads array<long>"))
     # Documents with the same set of shingles are near copies as they are; the least stands for them.
-    w = Window.partitionBy("whole")
-    firsts = scratch.table(keyed.select("id", "whole").withColumn("first", F.min("id").over(w)).where("id <> first").select("id", "first").distinct())
-    alone = keyed.select("id", "keys").join(firsts.select("id").distinct(), "id", "left_anti")
-    rows = alone.select("id", F.explode("keys").alias("key"))
-    buckets = scratch.table(rows.withColumn("c", F.min("id").over(Window.partitionBy("key"))).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "id", "c"))
-    scratch.drop(keyed)
+    twins = scratch.table(keyed.where("twin is not null").select("id", F.col("twin").alias("first")))
+    once = keyed.where("twin is null").select("id", "whole")
+    least = once.groupBy("whole").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("whole", "first")
+    firsts = scratch.table(once.join(least, "whole").where("id <> first").select("id", "first").distinct())
+    alone = keyed.where("twin is null").join(firsts.select("id"), "id", "left_anti")
+    by_key = Window.partitionBy("key")
+    across = alone.select("id", F.explode("keys").alias("key")).withColumn("c", F.min("id").over(by_key)).withColumn("n", F.count("*").over(by_key)).where("n > 1").select("key", "id", "c")
+    within = alone.where(F.size("shared") > 0).select("id", F.explode(F.arrays_zip("shared", "heads")).alias("x")).select(F.col("x.shared").alias("key"), "id", F.col("x.heads").alias("head"))
+    within = within.join(firsts.toDF("head", "stands"), "head", "left").select("key", "id", F.coalesce("stands", "head").alias("c"))
+    buckets = scratch.table(across.union(within))
+    pairs = buckets.where("id <> c").select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
+    members = buckets.select("key", "id").union(within.select("key", F.col("c").alias("id")).distinct())
     n = buckets.count()
-    bitmap, bits = repeat_filter(buckets.select("id").distinct(), max(1, n // 4), 1)
+    bitmap, bits = repeat_filter(buckets.select("id").union(buckets.select("c")).distinct(), max(1, n // 4), 1)
     held = spark.sparkContext.broadcast(bitmap)
-    sets = scratch.table(text.mapInArrow(_wanted(held, bits), "id long, s array<int>").dropDuplicates(["id"]))
+    sets = scratch.table(text.mapInArrow(_wanted(held, bits), "id long, s array<int>").groupBy("id").agg(F.min("s").alias("s")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b, ok) of each pair (a, b)."""
@@ -141,15 +176,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         inter = F.size(F.array_intersect("sa", "sb"))
         return scratch.table(both.select("a", "b", (inter >= F.lit(threshold) * (F.size("sa") + F.size("sb") - inter)).alias("ok")))
 
-    seen = verified(buckets.where("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b")).distinct())
-    edges = scratch.table(seen.where("ok").select("a", "b").union(firsts.select(F.col("id").alias("a"), F.col("first").alias("b"))))
+    seen = verified(pairs)
+    edges = scratch.table(seen.where("ok").select("a", "b"))
     root = components(edges, scratch)
     # Members of one bucket that no edge has united: all pairs across components, but those compared before.
-    w = Window.partitionBy("key")
-    named = buckets.select("key", "id").join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    mixed = scratch.table(named.withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where("lo <> hi").select("key", "id", "root"))
-    scratch.drop(buckets)
-    cross = mixed.toDF("key", "a", "ra").join(mixed.toDF("key", "b", "rb"), "key").where("a > b and ra <> rb").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
+    named = scratch.table(members.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")).distinct())
+    size = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("key", "blocks")
+    mixed = scratch.table(named.join(size, "key"))
+    scratch.drop(buckets, named, keyed)
+    one = mixed.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("a"), F.col("root").alias("ra"))
+    other = mixed.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("root").alias("rb"))
+    cross = one.join(other, ["key", "block"]).where("a > b and ra <> rb").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
     more = verified(cross).where("ok").select("a", "b")
     # What they unite are whole components; each then has the least of their roots.
     up = lambda t, c: t.join(root.toDF(c, "r_" + c), c, "left").withColumn(c, F.coalesce("r_" + c, c)).drop("r_" + c)
@@ -157,8 +194,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not joined.isEmpty():
         top = components(joined, scratch)
         met = root.union(joined.select("a", "a").union(joined.select("b", "b"))).distinct().toDF("id", "old")
-        root = met.join(top.toDF("old", "new"), "old", "left").select("id", F.coalesce("new", "old").alias("root"))
-    out = root
+        root = scratch.table(met.join(top.toDF("old", "new"), "old", "left").select("id", F.coalesce("new", "old").alias("root")))
+    # Those with an equal set follow the one that stands for them, twins the first of their batch.
+    lot = scratch.table(firsts.join(root.toDF("first", "root"), "first", "left").select("id", F.coalesce("root", "first").alias("root")))
+    known = root.union(lot)
+    rest = twins.join(known.toDF("first", "root"), "first", "left").select("id", F.coalesce("root", "first").alias("root"))
+    heads = lot.union(rest).select(F.col("root").alias("id"), "root").distinct()
+    out = known.union(rest).union(heads).groupBy("id").agg(F.min("root").alias("root"))
     return out.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), (F.col("id") == F.col("root")).alias("keep"))
 
 
