@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from bisect import bisect_right
 from collections.abc import Iterable
@@ -68,6 +69,8 @@ class CharTable:
         self.ranges = compile_ranges(default_ranges() if ranges is None else ranges)
         self.starts = [r[0] for r in self.ranges]
         self.seen: dict[str, int] = {}
+        self.shared: dict[str, int] = {}
+        self.finders: dict[int, re.Pattern] = {}
 
     def __call__(self, ch: str) -> int:
         mask = self.seen.get(ch)
@@ -82,9 +85,25 @@ class CharTable:
         except KeyError:
             return [self(c) for c in text]
 
-    def class_pattern(self, mask: int) -> str:
-        """A regular-expression class of the characters that have any class of the mask."""
-        return "[" + "".join(f"\\U{lo:08x}-\\U{hi - 1:08x}" for lo, hi, m in self.ranges if m & mask) + "]"
+    def class_pattern(self, mask: int, but: int = 0) -> str:
+        """A regular-expression class of the characters that have any class of the mask, and none of the other."""
+        some = "".join(f"\\U{lo:08x}-\\U{hi - 1:08x}" for lo, hi, m in self.ranges if m & mask and not m & but)
+        return f"[{some}]" if some else "(?!)"
+
+    def finder(self, mask: int) -> re.Pattern:
+        """An expression that finds such characters."""
+        if mask not in self.finders:
+            self.finders[mask] = re.compile(self.class_pattern(mask))
+        return self.finders[mask]
+
+    def common(self, text: str) -> int:
+        """The classes that all characters have; none of an empty text."""
+        out = self.shared.get(text)
+        if out is None:
+            out = common(self.masks(text), 0, len(text))
+            if len(text) <= 64 and len(self.shared) < 100_000:
+                self.shared[text] = out
+        return out
 
 
 def run_lengths(masks: list[int]) -> list[int]:

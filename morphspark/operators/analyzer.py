@@ -33,6 +33,8 @@ def _dictionary_id(b, x, d) -> int:
 FIELDS: dict[str, tuple[str, pa.DataType, Callable]] = {
     "begin": ("int", pa.int32(), lambda b, x, d: b.place(x[0])),
     "end": ("int", pa.int32(), lambda b, x, d: b.place(x[1])),
+    "begin_byte": ("int", pa.int32(), lambda b, x, d: len(b.original[: b.place(x[0])].encode("utf-8", "surrogatepass"))),
+    "end_byte": ("int", pa.int32(), lambda b, x, d: len(b.original[: b.place(x[1])].encode("utf-8", "surrogatepass"))),
     "surface": ("string", _TEXT, lambda b, x, d: b.original[b.place(x[0]) : b.place(x[1])]),
     "word_id": ("bigint", pa.int64(), lambda b, x, d: x[5]),
     "dictionary_id": ("int", pa.int32(), _dictionary_id),
@@ -52,6 +54,41 @@ FIELDS: dict[str, tuple[str, pa.DataType, Callable]] = {
     "right_id": ("int", pa.int32(), lambda b, x, d: x[3]),
     "cost": ("int", pa.int32(), lambda b, x, d: x[4]),
 }
+#: The same over many tokens at once.
+_FAST = {
+    "word_id": lambda t: [x[5] for x in t],
+    "is_oov": lambda t: [x[5] >> 28 == 15 for x in t],
+    "pos_id": lambda t: [x[7][2] for x in t],
+    "normalized_form": lambda t: [x[7][3] or x[7][0] for x in t],
+    "total_cost": lambda t: [x[6] for x in t],
+}
+
+
+def _places(k: int) -> Callable:
+    return lambda b, t: [x[k] for x in t] if b.origin is None else [b.origin[x[k]] for x in t]
+
+
+def _bytes_before(k: int) -> Callable:
+    """Byte places in the original: of ASCII texts the characters'."""
+
+    def run(b, t) -> list[int]:
+        at = _places(k)(b, t)
+        if b.original.isascii():
+            return at
+        size = [0]
+        for ch in b.original:
+            size.append(size[-1] + len(ch.encode("utf-8", "surrogatepass")))
+        return [size[i] for i in at]
+
+    return run
+
+
+def _surfaces(b, t) -> list[str]:
+    s, o = b.original, b.origin
+    return [s[x[0] : x[1]] for x in t] if o is None else [s[o[x[0]] : o[x[1]]] for x in t]
+
+
+_IN_TEXT = {"begin": _places(0), "end": _places(1), "begin_byte": _bytes_before(0), "end_byte": _bytes_before(1), "surface": _surfaces}
 BASIC = ("begin", "end", "surface", "pos_id", "is_oov")
 #: What a surface projection needs besides.
 _NEEDS = {"normalized": ("normalized_form",), "reading": ("reading_form",), "dictionary": ("dictionary_form",), "dictionary_and_surface": ("dictionary_form", "pos"), "normalized_and_surface": ("normalized_form", "pos"), "normalized_nouns": ("normalized_form", "pos")}
@@ -60,22 +97,28 @@ MODES = ("A", "B", "C")
 
 def struct_array(rows: list[tuple | None], fields: tuple[str, ...], dictionary: kernel.Compiled) -> pa.Array:
     """An Arrow list of structs for each (buffer, tokens); null for None."""
-    sizes, flat = [0], []
+    sizes, buffers, flat = [], [], []
     for r in rows:
-        if r is not None:
-            b = r[0]
-            flat += [(b, x) for x in r[1]]
-        sizes.append(len(flat))
+        sizes.append(None if r is None else len(flat))
+        if r is not None and r[1]:
+            buffers.append((r[0], len(flat), len(flat) + len(r[1])))
+            flat += r[1]
     columns = []
     for name in fields:
         kind, of = FIELDS[name][1:]
         if name == "pos":
-            columns.append(pa.array([list(p) for p in dictionary.pos], kind).take(pa.array([x[7][2] for _, x in flat], pa.int32())))
+            columns.append(pa.array([list(p) for p in dictionary.pos], kind).take(pa.array([x[7][2] for x in flat], pa.int32())))
+        elif name in _FAST:
+            columns.append(pa.array(_FAST[name](flat), kind))
+        elif name in _IN_TEXT:
+            values: list = []
+            for b, i, j in buffers:
+                values += _IN_TEXT[name](b, flat[i:j])
+            columns.append(pa.array(values, kind))
         else:
-            columns.append(pa.array([of(b, x, dictionary) for b, x in flat], kind))
+            columns.append(pa.array([of(None, x, dictionary) for x in flat], kind))
     inner = pa.StructArray.from_arrays(columns, list(fields))
-    offsets = pa.array([None if r is None else s for r, s in zip(rows, sizes)] + [sizes[-1]], pa.int32())
-    return pa.ListArray.from_arrays(offsets, inner)
+    return pa.ListArray.from_arrays(pa.array([*sizes, len(flat)], pa.int32()), inner)
 
 
 class Analyzer:
