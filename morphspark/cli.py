@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from morphspark.operators import formats
 from morphspark.operators.analyzer import Analyzer
-from morphspark.sources.config import edition
+from morphspark.sources.config import Config, register_edition
 from morphspark.sources.dictionary import Dictionary, build_system_dic, build_user_dic
+from morphspark.sources.formats import read_lines
 from morphspark.sources.sample import sample
 
 
@@ -32,8 +33,15 @@ def parser() -> argparse.ArgumentParser:
         b = sub.add_parser(name, help="a system dictionary" if name == "build" else "a user dictionary")
         b.add_argument("--matrix" if name == "build" else "--system", required=True)
         b.add_argument("--description", default="")
+        if name == "build":
+            b.add_argument("--characters", help="character definitions: classes and category rows")
+            b.add_argument("--unknown", help="unknown-word definitions")
+            b.add_argument("--rewrites", help="rewrite rules")
         b.add_argument("output")
         b.add_argument("lexicon", nargs="+")
+    e = sub.add_parser("edition", help="names the folder of a dictionary for --edition")
+    e.add_argument("name")
+    e.add_argument("folder")
     d = sub.add_parser("dump", help="a part of a dictionary as lines")
     d.add_argument("dictionary")
     d.add_argument("what", choices=["pos", "matrix", "words"])
@@ -43,12 +51,15 @@ def parser() -> argparse.ArgumentParser:
 
 def tokenize(spark: SparkSession, args: argparse.Namespace) -> None:
     """A row of output for each sentence, in the order of the lines within each file."""
-    folder = edition(args.edition) if args.edition else args.dictionary
-    d = sample(spark) if folder is None else Dictionary.load(spark, folder, args.config)
+    config = Config.of(args.config)
+    if args.edition or args.dictionary or config.system:
+        d = Dictionary.open(spark, config, dictionary=args.dictionary, kind=args.edition)
+    else:
+        d = sample(spark) if args.config is None else sample(spark).with_config(config).with_files()
     for path in args.user:
         d = d.with_user(Dictionary.load(spark, path, kind="user"))
     a = Analyzer(d, args.mode, max_bytes=None)
-    lines = spark.read.text(args.input)
+    lines = read_lines(spark, args.input)
     if args.split_sentences == "no":
         texts = lines.select(F.col("value").alias("text"))
     else:
@@ -65,7 +76,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if args.command == "tokenize":
         tokenize(spark, args)
     elif args.command == "build":
-        build_system_dic(spark, args.matrix, args.lexicon, args.output, args.description).show(truncate=False)
+        build_system_dic(spark, args.matrix, args.lexicon, args.output, args.description, args.characters, args.unknown, args.rewrites).show(truncate=False)
+    elif args.command == "edition":
+        register_edition(args.name, args.folder, keep=True)
     elif args.command == "ubuild":
         build_user_dic(spark, args.system, args.lexicon, args.output, args.description).show(truncate=False)
     else:

@@ -8,6 +8,8 @@ fields asked for.
 from __future__ import annotations
 
 from collections.abc import Callable
+from enum import StrEnum
+from inspect import signature
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,7 @@ from morphspark.functions.normalize import MAX_BYTES, InputTooLong
 from morphspark.sources.config import PROJECTIONS, ConfigError
 from morphspark.sources.dictionary import Dictionary
 
+from . import relational
 from .projection import projected
 
 _TEXT, _IDS = pa.string(), pa.list_(pa.int64())
@@ -90,11 +93,27 @@ def _surfaces(b, t) -> list[str]:
 
 _IN_TEXT = {"begin": _places(0), "end": _places(1), "begin_byte": _bytes_before(0), "end_byte": _bytes_before(1), "surface": _surfaces}
 BASIC = ("begin", "end", "surface", "pos_id", "is_oov")
+WORD_INFO = ("surface", "head_word_length", "pos_id", "normalized_form", "dictionary_form", "reading_form", "split_a", "split_b", "word_structure", "synonym_group_ids")
 #: What a surface projection needs besides.
 _NEEDS = {"normalized": ("normalized_form",), "reading": ("reading_form",), "dictionary": ("dictionary_form",), "dictionary_and_surface": ("dictionary_form", "pos"), "normalized_and_surface": ("normalized_form", "pos"), "normalized_nouns": ("normalized_form", "pos")}
 MODES = ("A", "B", "C")
 
 
+class SplitMode(StrEnum):
+    """Short, middle and long units; wherever a mode is asked for, its letter does too."""
+
+    A, B, C = MODES
+
+
+def spread(df: DataFrame, files: int | None = None) -> DataFrame:
+    """The rows over all cores where a table has fewer files than there are cores: one row group is one task, however long. A table of more files is left as it is, without a shuffle."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = len(df.inputFiles()) if files is None else files
+    return df.repartition(4 * cores) if few < cores else df
+
+
 def struct_array(rows: list[tuple | None], fields: tuple[str, ...], dictionary: kernel.Compiled) -> pa.Array:
     """An Arrow list of structs for each (buffer, tokens); null for None."""
     sizes, buffers, flat = [], [], []
@@ -174,9 +193,34 @@ class Analyzer:
         """array<string>: the projected surfaces."""
         return F.transform(self.analyze(text), lambda m: projected(m, projection or self.projection))
 
-    def pretokenize(self, text: Column | str, handler: Callable[[Column], Column] | None = None) -> Column:
-        """array<string> of pre-tokens; handler maps the array of morphemes to one."""
-        return self.surface(text) if handler is None else handler(self.analyze(text))
+    def pretokenize(self, text: Column | str, handler: Callable[..., Column] | None = None, index: Column | int = 0) -> Column:
+        """array<string> of pre-tokens. handler(index, text, morphemes) makes them of the number of the piece in its text, the piece and its morphemes; one of a single parameter has the morphemes alone."""
+        if handler is None:
+            return self.surface(text)
+        column, m = text if isinstance(text, Column) else F.col(f"`{text}`"), self.analyze(text)
+        if len(signature(handler).parameters) == 1:
+            return handler(m)
+        return handler(index if isinstance(index, Column) else F.lit(index), column, m)
+
+    def split(self, tokens: DataFrame, mode: str, key: list[str], add_single: bool = True) -> DataFrame:
+        """Morpheme rows of tokens() split further: key, index, part, begin, end, surface, word_id.
+
+        tokens must have surface and word_id besides the key. A morpheme of one part or
+        more is split; one without stays as part 0, or falls out without
+        add_single. Places are those of the original text, if nothing in it was
+        rewritten to another length.
+        """
+        lex = self.dictionary.table("lexicon")
+        rows = tokens.select(*[F.col(f"`{c}`") for c in key], "index", "begin", "end", "word_id", F.col("surface").alias("_surface"), F.col("begin").alias("_from"))
+        parts = relational.split_tokens(rows, lex, mode, [*key, "index"], 1, add_single)
+        return parts.join(rows.select(*key, "index", "_surface", "_from"), [*key, "index"]).select(*key, "index", "part", "begin", "end", F.expr("substring(_surface, begin - _from + 1, end - begin)").alias("surface"), "word_id")
+
+    def word_info(self, m: Column) -> Column:
+        """What a morpheme struct says of its word: all forms, classes, parts and the length of its surface in bytes of the normalised text."""
+        odd = [f for f in WORD_INFO if f not in self.fields]
+        if odd:
+            raise ConfigError(f"fields are missing: {odd}")
+        return F.struct(*[m[f].alias(f) for f in WORD_INFO], m["head_word_length"].alias("length"))
 
     def internal_cost(self, text: Column | str) -> Column:
         """Cost of the path without its first morpheme; 0 of an empty text."""

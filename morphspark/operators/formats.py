@@ -33,6 +33,24 @@ def text_of(morphemes: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(shown, ", "), F.lit("]"))
 
 
+def morpheme_text(m: Column) -> Column:
+    """How one morpheme is shown."""
+    return F.format_string("<Morpheme(%s, %d:%d, %s)>", m["surface"], m["begin"], m["end"], F.array_join(m["pos"], ","))
+
+
+def get(morphemes: Column, i: int) -> Column:
+    """The morpheme at a place, from the end if less than 0; null beyond."""
+    return F.try_element_at(morphemes, F.lit(i + 1 if i >= 0 else i))
+
+
+def cut(morphemes: Column, begin: int = 0, end: int | None = None) -> Column:
+    """The morphemes from begin to end, places from the end if less than 0."""
+    n = F.size(morphemes)
+    at = lambda k: F.lit(k) if k >= 0 else F.greatest(n + k, F.lit(0))
+    last = n if end is None else F.least(at(end), n)
+    return F.slice(morphemes, at(begin) + 1, F.greatest(last - at(begin), F.lit(0)))
+
+
 def write_lines(df: DataFrame, column: str, path: str, mode: str = "errorifexists") -> None:
     """Writes one text column, its rows as they come."""
     df.select(F.col(column).alias("value")).where("value is not null").write.mode(mode).text(path)

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from morphspark.functions.chars import BITS, default_ranges
 from morphspark.operators import candidates, formats, relational
-from morphspark.operators.analyzer import Analyzer, normalize_number, normalized_text, split_sentences
+from morphspark.operators.analyzer import Analyzer, normalize_number, normalized_text, split_sentences, spread
 from morphspark.operators.posmatch import PosMatcher
 from morphspark.operators.projection import projected
 from morphspark.sources import dictionary, sample
 from morphspark.sources.config import PROJECTIONS
 from morphspark.sources.formats import lexicon_rows
 
-from . import inline
+from . import golden, inline
 
 SHORT_FIELDS = ("begin", "end", "surface", "word_id", "pos", "normalized_form")
 
@@ -29,6 +29,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
 
 
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all cores, for the lattice."""
+    return spread(_docs(spark, sf_dir))
+
+
 def _texts(spark: SparkSession, rows=inline.TEXTS) -> DataFrame:
     return inline.table(spark, rows, "id int, text string")
 
@@ -89,7 +94,7 @@ def lookup_document_words(spark, sf_dir):
 
 
 def unknown_candidates(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", F.explode(candidates.unknown_candidates(plain(spark), F.lower("text"))).alias("w"))
+    rows = _wide(spark, sf_dir).select("doc_id", F.explode(candidates.unknown_candidates(plain(spark), F.lower("text"))).alias("w"))
     return rows.groupBy("doc_id", "w.cost").agg(F.count("*").alias("n"), F.sum(F.col("w.end") - F.col("w.begin")).alias("n_chars"))
 
 
@@ -131,18 +136,18 @@ def tokens_inline(spark, sf_dir):
 def tokens_documents(spark, sf_dir):
     """Morphemes of every document by class."""
     a = Analyzer(sample.sample(spark), fields=("pos_id", "is_oov"), max_bytes=None)
-    return a.tokens(_docs(spark, sf_dir), "text", ["doc_id"]).groupBy("doc_id", "pos_id", "is_oov").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("begin")).alias("n_chars"))
+    return a.tokens(_wide(spark, sf_dir), "text", ["doc_id"]).groupBy("doc_id", "pos_id", "is_oov").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("begin")).alias("n_chars"))
 
 
 def token_runs(spark, sf_dir):
     a = Analyzer(plain(spark), fields=("pos_id",), max_bytes=None)
-    rows = a.tokens(_docs(spark, sf_dir), "text", ["doc_id"])
+    rows = a.tokens(_wide(spark, sf_dir), "text", ["doc_id"])
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count(F.when(F.lower("surface").rlike("^[a-zß-öø-ÿ]"), 1)).alias("n_words"), F.max(F.col("end") - F.col("begin")).alias("longest"))
 
 
 def token_counts_by_lang(spark, sf_dir):
     """Morphemes by language and first class: the flagship."""
-    docs = _read(spark, sf_dir, "documents").where("text is not null").select("lang", "text")
+    docs = spread(_read(spark, sf_dir, "documents").where("text is not null").select("lang", "text"))
     d = sample.sample(spark)
     rows = Analyzer(d, fields=("pos_id",), max_bytes=None).tokens(docs, "text", ["lang"]).groupBy("lang", "pos_id").agg(F.count("*").alias("n"))
     return rows.join(F.broadcast(d.table("pos").select("pos_id", "p1")), "pos_id").groupBy("lang", "p1").agg(F.sum("n").alias("n"))  # the sample's few classes
@@ -237,17 +242,35 @@ def _dump(what):
 
 def normalized_documents(spark, sf_dir):
     n = normalized_text(plain(spark), "text", None)
-    return _docs(spark, sf_dir).select("doc_id", n.alias("n")).select("doc_id", F.md5("n.text").alias("digest"), F.size("n.origin").cast("long").alias("n_places"))
+    return _wide(spark, sf_dir).select("doc_id", n.alias("n")).select("doc_id", F.md5("n.text").alias("digest"), F.size("n.origin").cast("long").alias("n_places"))
+
+
+@lru_cache(maxsize=4)
+def _rewriting(spark: SparkSession, app: str, name: str) -> dictionary.Dictionary:
+    """The sample with one normaliser."""
+    d = sample.sample(spark).with_config({})
+    d.config = d.config.update(normalizers=tuple(s for s in d.config.normalizers if s["class"] == name))
+    return d
+
+
+def _rewritten(spark, sf_dir, name):
+    """Every text, and the inline ones, as the plug-in leaves it."""
+    rows = _docs(spark, sf_dir).unionByName(_texts(spark).select((-F.col("id")).cast("long").alias("doc_id"), "text"))
+    return rows.select("doc_id", normalized_text(_rewriting(spark, spark.sparkContext.applicationId, name), "text", None).alias("n")).select("doc_id", F.md5("n.text").alias("digest"), F.size("n.origin").cast("long").alias("n_places"))
 
 
 def prolonged_marks(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", "text").unionByName(_texts(spark).select((-F.col("id")).cast("long").alias("doc_id"), "text"))
-    return rows.select("doc_id", F.md5(relational.prolonged_text("text")).alias("digest"))
+    return _rewritten(spark, sf_dir, "ProlongedSoundMark")
 
 
 def ignore_yomigana(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", "text").unionByName(_texts(spark).select((-F.col("id")).cast("long").alias("doc_id"), "text"))
-    return rows.select("doc_id", F.md5(relational.without_readings("text")).alias("digest"))
+    return _rewritten(spark, sf_dir, "IgnoreYomigana")
+
+
+def rewritten_inline(spark, sf_dir):
+    """Texts after all normalisers, with the place in the original of each character."""
+    n = normalized_text(sample.sample(spark), "text").alias("n")
+    return _texts(spark, inline.REWRITTEN).select("id", n).select("id", "n.text", F.array_join(F.transform("n.origin", lambda x: x.cast("string")), " ").alias("places"))
 
 
 def normalize_numbers(spark, sf_dir):
@@ -256,17 +279,24 @@ def normalize_numbers(spark, sf_dir):
 
 
 def too_long_inputs(spark, sf_dir):
-    return _docs(spark, sf_dir).where(relational.too_long("text", 49149)).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
+    """Documents, and inline texts around the limit."""
+    edge = inline.table(spark, inline.LONG, "n long, ch string").select((-F.col("n")).alias("doc_id"), F.expr("repeat(ch, cast(n as int))").alias("text"))
+    return _docs(spark, sf_dir).unionByName(edge).where(relational.too_long("text", 49149)).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
 
 
 # Sentences
 
 
 def sentences(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(split_sentences("text")).alias("index", "s"))
+    rows = _wide(spark, sf_dir).select("doc_id", F.posexplode(split_sentences("text")).alias("index", "s"))
     return rows.select("doc_id", "index", "s.begin", "s.end")
 
 
+def sentences_inline(spark, sf_dir):
+    """With the sample's words, that no boundary may cross."""
+    return _texts(spark, inline.SENTENCES).select("id", F.posexplode(split_sentences("text", sample.sample(spark))).alias("index", "s")).select("id", "index", "s.begin", "s.end")
+
+
 def sentence_breaks(spark, sf_dir):
     wordy = "a-zA-Z0-9ａ-ｚＡ-Ｚ０-９〇一二三四五六七八九十百千万億兆"
     return _docs(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit("[。？！♪…?!]")).cast("long").alias("n_stops"), F.regexp_count("text", F.lit(f"(?<![{wordy}])[.．](?![{wordy},，、])")).cast("long").alias("n_dots"))
@@ -279,6 +309,51 @@ def _inline_words(spark):
     return Analyzer(sample.sample(spark), fields=("pos", "normalized_form", "dictionary_form", "reading_form", "synonym_group_ids", "dictionary_id"))
 
 
+def _files(spark: SparkSession) -> dictionary.Dictionary:
+    return _from_files(spark, spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=2)
+def _from_files(spark: SparkSession, app: str) -> dictionary.Dictionary:
+    """A dictionary of sources alone: matrix, lexicon, character classes, unknown words, rewrite rules."""
+    b = dictionary.DictionaryBuilder(spark, None, "from sources", 0).read_conn(sample.matrix()).read_lexicon(sample.lexicon())
+    return b.read_definitions(inline.CHARACTER_LINES, inline.UNKNOWN_LINES, inline.REWRITE_LINES).compile()
+
+
+def dictionary_of_sources(spark, sf_dir):
+    a = Analyzer(_files(spark), fields=("is_oov", "normalized_form"))
+    return a.tokens(_texts(spark, inline.FROM_SOURCES), "text", ["id"]).select("id", "index", "begin", "end", "surface", "normalized_form", "is_oov")
+
+
+def document_words_of_sources(spark, sf_dir):
+    """Unknown words of every document by the definitions of a file: runs of letters, digits, spaces and signs."""
+    a = Analyzer(_files(spark), fields=("pos_id",), max_bytes=None)
+    return a.tokens(_wide(spark, sf_dir), "text", ["doc_id"]).where("is_oov").groupBy("doc_id").agg(F.count("*").alias("n_unknown"), F.sum(F.col("end") - F.col("begin")).alias("n_chars"))
+
+
+def joined_numbers(spark, sf_dir):
+    a = Analyzer(sample.sample(spark), fields=("normalized_form",))
+    return a.tokens(_texts(spark, inline.NUMBERS), "text", ["id"]).select("id", "index", "surface", "normalized_form")
+
+
+def regex_words(spark, sf_dir):
+    """Unknown words by an expression, where the class of characters changes."""
+    d = sample.sample(spark).with_config({"unknown": [{"class": "RegexOov", "regex": "[a-z0-9]+-[0-9]+", "oovPOS": list(sample.CLASSES["noun"]), "leftId": 2, "rightId": 2, "cost": 1000}, *sample.CONFIG["unknown"]]})
+    return Analyzer(d, fields=("is_oov",)).tokens(_texts(spark, inline.PARTS), "text", ["id"]).select("id", "index", "surface", "is_oov")
+
+
+def split_morphemes(spark, sf_dir):
+    """Morphemes of analysed texts, split to A units, those without parts left out."""
+    a = Analyzer(sample.sample(spark), fields=("word_id",))
+    return a.split(a.tokens(_texts(spark), "text", ["id"]), "A", ["id"], add_single=False).select("id", "index", "part", "begin", "end", "surface", "word_id")
+
+
+def wakati_documents(spark, sf_dir):
+    """Every document in words with spaces between, by the classes of characters alone."""
+    a = Analyzer(plain(spark), max_bytes=None, fields=())
+    return _wide(spark, sf_dir).select("doc_id", F.md5(formats.wakati(a.analyze("text"))).alias("digest"))
+
+
 def wakati(spark, sf_dir):
     words = sample.sample(spark).table("lexicon").groupBy("pos_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("word_id", "surface"))), lambda m: m).alias("m"))
     return words.select("pos_id", formats.wakati(F.col("m")).alias("line"))
@@ -295,7 +370,8 @@ def tsv_texts(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     char_category, char_runs, bow_flags, prefix_candidates, prefix_candidates_inline, exact_lookup, lookup_document_words, unknown_candidates, connection_edit, connection_costs, best_path, lattice_nodes, tokens_inline, tokens_documents, token_runs, token_counts_by_lang, tokens_conversations, user_dictionary, internal_cost,
-    split_a, split_b, pos_match, pos_match_algebra, resolve_splits, validate_lexicon, pos_interning, normalized_documents, prolonged_marks, ignore_yomigana, normalize_numbers, too_long_inputs, sentences, sentence_breaks, wakati, tsv_format, tsv_texts,
+    split_a, split_b, pos_match, pos_match_algebra, resolve_splits, validate_lexicon, pos_interning, normalized_documents, prolonged_marks, ignore_yomigana, normalize_numbers, too_long_inputs, sentences, sentences_inline, sentence_breaks, wakati, tsv_format, tsv_texts,
+    rewritten_inline, dictionary_of_sources, document_words_of_sources, joined_numbers, regex_words, split_morphemes, wakati_documents,
 )} | {f"projection_{p}": _projection(p) for p in PROJECTIONS} | {f"dump_{w}": _dump(w) for w in ("pos", "matrix", "words")}
 
 
@@ -353,13 +429,19 @@ select id, (k - 1)::int as index, case when k = 1 then 0 else ends[k - 1] end as
         "dump_pos": f"select pos_id as id, concat_ws(',', p1, p2, p3, p4, p5, p6) as line from {pos}",
         "dump_matrix": f'select "left" * 12 + "right" as id, "left" || \' \' || "right" || \' \' || cost as line from {conn}',
         "normalized_documents": "select doc_id, md5(lower(text)) as digest, length(text) + 1 as n_places from documents where text is not null",
-        "prolonged_marks": f"select doc_id, md5(regexp_replace(text, '[ー\\-〜]{{2,}}', 'ー', 'g')) as digest from (select doc_id, text from documents where text is not null union all select -id, text from {texts})",
-        "ignore_yomigana": f"select doc_id, md5(regexp_replace(text, '([一-鿿々])[(（][ぁ-ゟァ-ヿ]{{1,4}}[)）]', '\\1', 'g')) as digest from (select doc_id, text from documents where text is not null union all select -id, text from {texts})",
+        "prolonged_marks": f"select doc_id, md5(n) as digest, length(n) + 1 as n_places from (select doc_id, regexp_replace(text, '[ー\\-〜]{{2,}}', 'ー', 'g') as n from (select doc_id, text from documents where text is not null union all select -id, text from {texts}))",
+        "ignore_yomigana": f"select doc_id, md5(n) as digest, length(n) + 1 as n_places from (select doc_id, regexp_replace(text, '([一-鿿々])[(（][ぁ-ゟァ-ヿ]{{1,4}}[)）]', '\\1', 'g') as n from (select doc_id, text from documents where text is not null union all select -id, text from {texts}))",
         "normalize_numbers": "select l_orderkey, l_linenumber, regexp_replace(regexp_replace(printf('%.2f', l_extendedprice), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') as number from lineitem",
-        "too_long_inputs": "select doc_id, strlen(text) as n_bytes from documents where strlen(text) > 49149",
+        "too_long_inputs": f"select doc_id, strlen(text) as n_bytes from (select doc_id, text from documents union all select -n, repeat(ch, n) from {inline.values(inline.LONG, 'n, ch')}) where strlen(text) > 49149",
+        "document_words_of_sources": f"with t as (select doc_id, unnest({runs}) as w from documents) select doc_id, count(*) as n_unknown, sum(length(w)) as n_chars from t where not regexp_matches(w, '^[0-9]') and w not in ('x', 'mega') group by doc_id",
+        "wakati_documents": f"select doc_id, md5(array_to_string({runs.replace('lower(text)', 'text').replace('[a-zß-öø-ÿ]+', '[a-zA-ZÀ-ÖØ-öø-ÿ]+').replace('[^a-zß-öø-ÿ', '[^a-zA-ZÀ-ÖØ-öø-ÿ')}, ' ')) as digest from documents where text is not null",
+        "dump_words": f"select word_id as id, concat_ws(',', surface, left_id, right_id, cost, pos_id, surface, case when reading = surface then '' else reading end, case when normalized = surface then '' else normalized end, dic, array_to_string(split_a, '/'), array_to_string(split_b, '/'), '', synonyms) as line from {inline.values([(*r, w[10]) for r, w in zip(inline.lexicon_rows(), sample.WORDS)], inline.LEXICON_COLUMNS + ', synonyms')}",
         "sentence_breaks": f"with c as ({each}), n as (select *, coalesce(lag(ch) over w, '') as was, coalesce(lead(ch) over w, '') as will from c window w as (partition by doc_id order by i)) select d.doc_id, coalesce(s, 0) as n_stops, coalesce(k, 0) as n_dots from documents d left join (select doc_id, count(*) filter (regexp_matches(ch, '[。？！♪…?!]')) as s, count(*) filter (ch in ('.', '．') and not regexp_matches(was, '[a-zA-Z0-9ａ-ｚＡ-Ｚ０-９〇一二三四五六七八九十百千万億兆]') and not regexp_matches(will, '[a-zA-Z0-9ａ-ｚＡ-Ｚ０-９〇一二三四五六七八九十百千万億兆,，、]')) as k from n group by doc_id) x using (doc_id) where text is not null",
         "wakati": f"select pos_id, string_agg(surface, ' ' order by word_id) as line from {lex} group by pos_id",
         "tsv_format": f"with w as ({words}) select pos_id, string_agg(surface || chr(9) || concat_ws(',', p1, p2, p3, p4, p5, p6) || chr(9) || normalized, chr(10) order by word_id) || chr(10) || 'EOS' as lines from w group by pos_id",
         "resolve_splits": "select * from (values (0, 0, 4::bigint), (0, 1, 5), (0, 2, 268435457)) v(word_no, part, word_id)",
     }
+    for name, (columns, wide, rows) in golden.EXPECTED.items():
+        quoted = [f'"{c}"' for c in columns]
+        sql[name] = f"select {', '.join(c + ('::bigint as ' + c if c.strip(chr(34)) in wide else '') for c in quoted)} from {inline.values(rows, ', '.join(quoted))}"
     return sql | {f"projection_{p}": f"select word_id, {c} as projected from ({words})" for p, c in shown.items()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
@@ -30,6 +31,7 @@ class Config:
     rewriters: tuple[dict[str, Any], ...] = ()
     projection: str = "surface"
     root: str | None = field(default=None, compare=False)
+    resources: str | None = field(default=None, compare=False)
 
     @classmethod
     def of(cls, source: Config | dict | str | None) -> Config:
@@ -68,12 +70,14 @@ class Config:
         return replace(self, **changes)
 
     def as_json(self) -> str:
-        return json.dumps({k: v for k, v in asdict(self).items() if v and k != "root"}, ensure_ascii=False)
+        return json.dumps({k: v for k, v in asdict(self).items() if v and k not in ("root", "resources")}, ensure_ascii=False)
 
     def find(self, name: str, resources: str | None = None) -> str:
-        """The file of that name: as it is if absolute, else under path, the resource folder, the configuration's folder or the working folder. $cfg stands for the configuration's folder."""
+        """The file of that name: as it is if absolute, else under path, the resource folder, the configuration's folder or the working folder. $cfg stands for the configuration's folder, $exe for that of the program."""
         if name.startswith("$cfg/"):
             return os.path.join(self.root or ".", name[5:])
+        if name.startswith("$exe/"):
+            return os.path.join(os.path.dirname(os.path.abspath(sys.argv[0] or ".")), name[5:])
         if os.path.isabs(name) or "://" in name:
             return name
         for folder in (self.path, resources, self.root, "."):
@@ -85,13 +89,32 @@ class Config:
 _EDITIONS: dict[str, str] = {}
 
 
-def register_edition(name: str, folder: str) -> None:
-    """Names the folder of a dictionary, as small, core or full."""
+def _register() -> str:
+    """The file that keeps the editions of this user: one line of JSON."""
+    return os.path.join(os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config"), "morphspark", "editions.json")
+
+
+def _kept() -> dict[str, str]:
+    try:
+        with open(_register(), encoding="utf-8") as f:
+            return json.load(f)
+    except (FileNotFoundError, ValueError):
+        return {}
+
+
+def register_edition(name: str, folder: str, keep: bool = False) -> None:
+    """Names the folder of a dictionary, as small, core or full; keep: for later processes too."""
     _EDITIONS[name] = folder
+    if keep:
+        every = _kept() | {name: folder}
+        os.makedirs(os.path.dirname(_register()), exist_ok=True)
+        with open(_register(), "w", encoding="utf-8") as f:
+            json.dump(every, f)
 
 
 def edition(name: str = "core") -> str:
     """The folder of a named dictionary."""
-    if name not in _EDITIONS:
-        raise ConfigError(f"no dictionary is registered as {name}; known: {', '.join(sorted(_EDITIONS)) or 'none'}")
-    return _EDITIONS[name]
+    every = _kept() | _EDITIONS
+    if name not in every:
+        raise ConfigError(f"no dictionary is registered as {name}; known: {', '.join(sorted(every)) or 'none'}")
+    return every[name]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
@@ -16,7 +16,8 @@ from morphspark.functions import kernel, normalize
 from morphspark.functions.chars import BITS, CharTable, compile_ranges, default_ranges
 
 from .config import Config, ConfigError
-from .formats import LEXICON, REQUIRED, BuildError, lexicon_rows, read_lexicon, read_matrix, unescaped
+from .config import edition as edition_folder
+from .formats import LEXICON, REQUIRED, BuildError, lexicon_rows, parse_characters, parse_rewrites, parse_unknown, read_lexicon, read_matrix, small_file, unescaped
 
 LEXICON_TABLE = "dic_id int, word_no int, word_id long, surface string, surface_bytes int, indexed boolean, left_id int, right_id int, cost int, headword string, pos_id int, reading string, normalized string, dic_form_word_id long, unit string, split_a array<long>, split_b array<long>, structure array<long>, synonyms array<int>"
 POS = [f"p{k}" for k in range(1, 7)]
@@ -67,7 +68,51 @@ class Dictionary:
             raise ConfigError(f"{folder} holds a {rest['meta']['kind']} dictionary")
         tables = {name: spark.read.parquet(f"{folder}/{name}") for name in ("lexicon", "pos", "conn")}
         unknown = [(c, a, b, n, tuple(p)) for c, a, b, n, p in rest["unknown"]]
-        return cls(tables, rest["meta"], [tuple(r) for r in rest["ranges"]], [tuple(c) for c in rest["categories"]], unknown, rest["rewrites"], set(rest["exempt"]), Config.of(config).over(Config.of(rest["config"])))
+        d = cls(tables, rest["meta"], [tuple(r) for r in rest["ranges"]], [tuple(c) for c in rest["categories"]], unknown, rest["rewrites"], set(rest["exempt"]), Config.of(config).over(Config.of(rest["config"])))
+        return d.with_files() if config is not None else d
+
+    @classmethod
+    def open(cls, spark: SparkSession, config: Config | dict | str | None = None, resources: str | None = None, dictionary: str | None = None, kind: str | None = None) -> Dictionary:
+        """The dictionary that a configuration names, with its definition files and its users' words.
+
+        config: a Config, a dict, JSON or the path of a JSON file. The system
+        dictionary is `dictionary` (a folder, or the name of an edition), else the edition
+        `kind`, else what the configuration names. Names of files are looked
+        for as Config.find says, resources being the resource folder.
+        """
+        c = Config.of(config)
+        if dictionary and kind:
+            raise ConfigError("either a dictionary or an edition")
+        name = dictionary or kind or c.system
+        if not name:
+            raise ConfigError("the configuration names no system dictionary")
+        try:
+            folder = c.find(name, resources) if name != kind else edition_folder(name)
+        except ConfigError:
+            folder = edition_folder(name)
+        d = cls.load(spark, folder, c.update(resources=resources or c.resources), kind="system")
+        for path in c.user:
+            d = d.with_user(cls.load(spark, c.find(path, resources), kind="user"))
+        return d
+
+    def with_files(self) -> Dictionary:
+        """This dictionary with what the definition files of its configuration say: character classes (characterDefinitionFile, or a plug-in's charDef), unknown words (unkDef) and rewrite rules (rewriteDef)."""
+        c, found = self.config, {}
+        lines = lambda name: small_file(self.spark, c.find(name, c.resources))
+        of = lambda plugins, key: next((s[key] for s in plugins if s.get(key)), None)
+        if name := c.characters or of(c.unknown, "charDef"):
+            ranges, kinds = parse_characters(lines(name))
+            found |= {"ranges": ranges, "categories": kinds or self.categories}
+        if c.characters and (name := of(c.unknown, "charDef")):
+            found["categories"] = parse_characters(lines(name))[1] or found["categories"]
+        if name := of(c.unknown, "unkDef"):
+            found["unknown"] = parse_unknown(lines(name), self.meta["rights"], self.meta["lefts"])
+        if name := of(c.normalizers, "rewriteDef"):
+            found["rewrites"], found["exempt"] = parse_rewrites(lines(name))
+        return replace(self, tables=dict(self.tables), _compiled=None, _broadcast=None, **found) if found else self
+
+    def __repr__(self) -> str:
+        return f"<Dictionary {self.meta['kind']} ({self.meta['description']}): {self.meta['words']} words, {self.meta.get('users', 0)} user dictionaries>"
 
     # Composition
 
@@ -124,8 +169,9 @@ class Dictionary:
     def edited_conn(self) -> DataFrame:
         """The connection table after the cost edits of the configuration."""
         conn = self.tables["conn"]
-        pairs = sorted({tuple(p) for s in self.config.connection for p in _named(s, "InhibitConnection")["inhibitPair"]})
-        return inhibit(conn, pairs) if pairs else conn
+        for s in self.config.connection:
+            conn = self._plugin("connection", s)(conn)
+        return conn
 
     def compiled(self) -> kernel.Compiled:
         """What workers hold, collected once: the lexicon and matrix are bounded by 28-bit word ids and 15-bit connection ids."""
@@ -134,9 +180,9 @@ class Dictionary:
             conn = np.zeros((n, m), np.int16)
             got = self.edited_conn().toArrow()
             conn[got.column("left").to_numpy(), got.column("right").to_numpy()] = got.column("cost").to_numpy()
-            normalizers = [self._normalizer(s) for s in self.config.normalizers]
-            unknown = [self._unknown(s) for s in self.config.unknown]
-            rewriters = [self._rewriter(s) for s in self.config.rewriters]
+            normalizers = [self._plugin("normalizer", s) for s in self.config.normalizers]
+            unknown = [self._plugin("unknown", s) for s in self.config.unknown]
+            rewriters = [self._plugin("rewriter", s) for s in self.config.rewriters]
             cols = ["dic_id", "word_no", "word_id", "surface", "surface_bytes", "left_id", "right_id", "cost", "headword", "pos_id", "normalized", "dic_form_word_id", "reading", "split_a", "split_b", "structure", "synonyms"]
             rows = self.tables["lexicon"].select(*cols).toArrow().sort_by([("dic_id", "ascending"), ("word_no", "ascending")]).to_pylist()
             lexicons: list[list[tuple]] = [[] for _ in range(self.meta.get("users", 0) + 1)]
@@ -168,23 +214,11 @@ class Dictionary:
             raise ConfigError(f"connection ids or cost out of range: {left}, {right}, {cost}")
         return left, right, cost
 
-    def _normalizer(self, s: dict):
-        name = _short(s)
-        if name in _REGISTRY["normalizer"]:
-            return _REGISTRY["normalizer"][name](self, s)
-        raise ConfigError(f"no such normaliser: {name}")
-
-    def _unknown(self, s: dict):
-        name = _short(s)
-        if name in _REGISTRY["unknown"]:
-            return _REGISTRY["unknown"][name](self, s)
-        raise ConfigError(f"no such provider of unknown words: {name}")
-
-    def _rewriter(self, s: dict):
-        name = _short(s)
-        if name in _REGISTRY["rewriter"]:
-            return _REGISTRY["rewriter"][name](self, s)
-        raise ConfigError(f"no such path rewriter: {name}")
+    def _plugin(self, kind: str, s: dict):
+        make = _REGISTRY[kind].get(_short(s))
+        if make is None:
+            raise ConfigError(f"no such {kind} plug-in: {s['class']}")
+        return make(self, s)
 
 
 def _short(s: dict) -> str:
@@ -193,12 +227,6 @@ def _short(s: dict) -> str:
     return name[:-6] if name.endswith("plugin") else name[:-8] if name.endswith("provider") else name
 
 
-def _named(s: dict, name: str) -> dict:
-    if _short(s) != name.lower():
-        raise ConfigError(f"no such connection-cost plug-in: {s['class']}")
-    return s
-
-
 def _category(d: Dictionary, s: dict) -> kernel.CategoryUnknown:
     rows: dict[int, list] = {}
     for name, left, right, cost, pos in d.unknown:
@@ -208,6 +236,9 @@ def _category(d: Dictionary, s: dict) -> kernel.CategoryUnknown:
 
 #: name -> factory(dictionary, settings). Settings may use "characters" and so on of the dictionary.
 _REGISTRY: dict[str, dict[str, Any]] = {
+    "connection": {
+        "inhibitconnection": lambda d, s: lambda conn: inhibit(conn, sorted({tuple(p) for p in s["inhibitPair"]})) if s["inhibitPair"] else conn,
+    },
     "normalizer": {
         "defaultinputtext": lambda d, s: normalize.DefaultNormalizer(d.rewrites, d.exempt),
         "prolongedsoundmark": lambda d, s: normalize.ProlongedMarks("".join(s.get("prolongedSoundMarks", "ー-⁓〜〰")), s.get("replacementSymbol", "ー")),
@@ -226,7 +257,7 @@ _REGISTRY: dict[str, dict[str, Any]] = {
 
 
 def register_plugin(kind: str, name: str, factory) -> None:
-    """Adds a plug-in: kind is normalizer, unknown or rewriter; factory(dictionary, settings) returns an object with the methods of the built-in ones."""
+    """Adds a plug-in: kind is connection, normalizer, unknown or rewriter; factory(dictionary, settings) returns an object with the methods of the built-in ones. One for connections is a function from the table (left, right, cost) to the edited one."""
     _REGISTRY[kind][name.replace("_", "").lower()] = factory
 
 
@@ -324,6 +355,7 @@ class DictionaryBuilder:
         self.raw: DataFrame | None = None
         self.sources = 0
         self.parts: list[tuple[str, int, float]] = []
+        self.definitions: dict[str, Any] = {}
         if system is not None:
             self.size, self.conn = (system.meta["lefts"], system.meta["rights"]), system.tables["conn"]
 
@@ -344,6 +376,36 @@ class DictionaryBuilder:
         self._timed("matrix", n * m, t)
         return self
 
+    def read_definitions(self, characters: str | list[str] | None = None, unknown: str | list[str] | None = None, rewrites: str | list[str] | None = None) -> DictionaryBuilder:
+        """Definition files, or their lines: character classes with category rows, unknown words (after the matrix), rewrite rules. They are saved with the dictionary."""
+        lines = lambda x: small_file(self.spark, x) if isinstance(x, str) else x
+        t = time.time()
+        if characters is not None:
+            ranges, self.definitions["categories"] = parse_characters(lines(characters))
+            if ranges:
+                self.definitions["ranges"] = ranges
+            self._timed("character classes", len(ranges), t)
+        if unknown is not None:
+            if self.conn is None:
+                raise BuildError("no matrix")
+            self.definitions["unknown"] = parse_unknown(lines(unknown), self.size[1], self.size[0])
+            self._timed("unknown words", len(self.definitions["unknown"]), t)
+        if rewrites is not None:
+            self.definitions["rewrites"], self.definitions["exempt"] = parse_rewrites(lines(rewrites))
+            self._timed("rewrite rules", len(self.definitions["rewrites"]), t)
+        return self
+
+    def set_compile_time(self, seconds: int) -> DictionaryBuilder:
+        """The time, in seconds since 1970, that the dictionary gives for its building."""
+        self.built = seconds
+        return self
+
+    def set_description(self, description: str) -> DictionaryBuilder:
+        if len(description.encode()) > MOST_DESCRIPTION:
+            raise BuildError("description too long")
+        self.description = description
+        return self
+
     def read_lexicon(self, source: str | list) -> DictionaryBuilder:
         """A lexicon file, or its lines or rows; several follow each other."""
         raw = read_lexicon(self.spark, source) if isinstance(source, str) else lexicon_rows(self.spark, source)
@@ -400,16 +462,22 @@ class DictionaryBuilder:
         finally:
             lex.unpersist()
         meta = {"kind": "user" if dic else "system", "description": self.description, "built": int(time.time()) if self.built is None else self.built, "lefts": self.size[0], "rights": self.size[1], "words": n, "users": 0, "system_pos": n_pos if self.system is None else len(self.system.part_of_speech())}
-        return Dictionary({"lexicon": rows, "pos": pos, "conn": self.conn}, meta)
+        d = Dictionary({"lexicon": rows, "pos": pos, "conn": self.conn}, meta, **self.definitions)
+        if d.unknown:  # their classes of words must exist
+            for _, _, _, _, p in d.unknown:
+                d.pos_id(p, "allow")
+        if "categories" in self.definitions and "unknown" in self.definitions:
+            d.config = Config(normalizers=({"class": "DefaultInputText"},), unknown=({"class": "MeCabOov"},))
+        return d
 
     def report(self) -> DataFrame:
         """(part, size, seconds) of what was built."""
         return self.spark.createDataFrame(self.parts, "part string, size long, seconds double")
 
 
-def build_system_dic(spark: SparkSession, matrix: str, lex: list[str], output: str, description: str = "") -> DataFrame:
-    """Builds and saves a system dictionary from files; returns the report."""
-    b = DictionaryBuilder(spark, None, description).read_conn(matrix)
+def build_system_dic(spark: SparkSession, matrix: str, lex: list[str], output: str, description: str = "", characters: str | None = None, unknown: str | None = None, rewrites: str | None = None) -> DataFrame:
+    """Builds and saves a system dictionary from files; returns the report. With character and unknown-word definitions it analyses unknown words by itself, without a configuration."""
+    b = DictionaryBuilder(spark, None, description).read_conn(matrix).read_definitions(characters, unknown, rewrites)
     for path in lex:
         b.read_lexicon(path)
     b.compile().save(output)
