@@ -347,18 +347,15 @@ class Tagger:
         k, start, size = k[order], start[order], size[order]
         for s in range(0, len(row), 2048):
             part = slice(s, s + 2048)
-            e, st, sz = self.scores(codes, start[part], size[part]), start[part], size[part]
-            t = np.arange(len(e))[:, None]
-            weight = np.ones((len(e), len(sz)), np.float32)
-            np.minimum(weight, (t + 0.5) / OVERLAP, out=weight, where=k[part] > 0)
-            np.minimum(weight, (sz - t - 0.5) / OVERLAP, out=weight, where=more[part])
-            for odd in (0, 1):  # windows of one parity don't overlap
-                w = np.flatnonzero(k[part] % 2 == odd)
-                if len(w):
-                    each = (e[:, :, w] * weight[:, None, w]).transpose(2, 0, 1).reshape(-1, TAGS)
-                    place = (st[w][:, None] + np.arange(len(e))).ravel()
-                    inside = (np.arange(len(e)) < sz[w][:, None]).ravel()
-                    out[place[inside]] += each[inside]
+            e = self.scores(codes, start[part], size[part])
+            ramp = ((np.arange(OVERLAP, dtype=np.float32) + 0.5) / OVERLAP)[:, None, None]
+            if len(w := np.flatnonzero(k[part] > 0)):
+                e[:OVERLAP, :, w] *= ramp
+            if len(w := np.flatnonzero(more[part])):  # these have the full length
+                e[WINDOW - OVERLAP : WINDOW, :, w] *= ramp[::-1]
+            e = np.ascontiguousarray(e.transpose(2, 0, 1))
+            for j, (a, m) in enumerate(zip(start[part].tolist(), size[part].tolist())):
+                out[a : a + m] += e[j, :m]
         return out
 
     def best_tags(self, g: np.ndarray, at: np.ndarray) -> np.ndarray:
