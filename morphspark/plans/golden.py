@@ -1,4 +1,4 @@
-"""What small texts give, written out and read over by hand: the SQL of queries that SQL can't compute."""
+"""What small texts give, as this engine gave it and read over by hand: fixed values for queries that SQL can't compute."""
 
 #: query -> (columns, those of 64 bits, rows)
 EXPECTED: dict[str, tuple[list[str], list[str], list[tuple]]] = {
