@@ -4,10 +4,13 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from morphspark.functions import kernel
 from morphspark.functions.chars import default_ranges
+from morphspark.operators.analyzer import normalized_text
 from morphspark.operators.candidates import begin_places
 from morphspark.operators.pieces import BYTES, pieces
 from morphspark.plans import queries
+from morphspark.sources.sample import sample
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +23,7 @@ def test_pieces_hold_every_row():
     assert list(pieces(pa.array([], pa.string()))) == []
 
 
-@pytest.mark.parametrize("name", ["unknown_candidates", "prefix_candidates"])
+@pytest.mark.parametrize("name", ["unknown_candidates", "prefix_candidates", "tokens_documents"])
 def test_batches_in_pieces(spark, monkeypatch, name):
     made, real = [], F.arrow_udf
 
@@ -37,6 +40,23 @@ def test_batches_in_pieces(spark, monkeypatch, name):
     assert got[:4] * (len(rows) // 4) == got
 
 
+def test_memory_of_parts_is_bounded(spark, monkeypatch):
+    d = sample(spark).compiled()
+    monkeypatch.setattr(kernel, "MOST_KEPT", 100)
+    d.memo.clear()
+    d.kept = 0
+    for k in range(200):
+        d.analyze("".join(map(chr, (0x4E00 + k, 0x4E80 + k, 0x3042))) + " ")
+        assert sum(len(tokens) for got in d.memo.values() for _, tokens in got[2]) == d.kept < 200
+    d.memo.clear()
+    d.kept = 0
+
+
+def test_normalized_places(spark):
+    got = spark.createDataFrame([("aーーb",), (None,), ("",), ("ab",)], "text string").select(normalized_text(sample(spark), "text").alias("n"))
+    assert [r.n and tuple(r.n) for r in got.collect()] == [("aーb", [0, 1, 3, 4]), None, ("", [0]), ("ab", [0, 1, 2])]
+
+
 def test_two_functions_of_one_text(spark):
     rows = spark.createDataFrame([("ab 1",), (None,), ("",)], "text string")
     got = rows.select(F.size(begin_places(default_ranges(), "text")).alias("a"), F.size(begin_places(default_ranges(), F.upper("text"))).alias("b")).collect()
