@@ -23,7 +23,7 @@ def test_pieces_hold_every_row():
     assert list(pieces(pa.array([], pa.string()))) == []
 
 
-@pytest.mark.parametrize("name", ["unknown_candidates", "prefix_candidates", "tokens_documents", "token_counts_by_lang", "token_runs", "wakati_documents", "normalized_documents", "tokens_conversations", "ignore_yomigana", "prolonged_marks"])
+@pytest.mark.parametrize("name", ["unknown_candidates", "prefix_candidates", "tokens_documents", "token_counts_by_lang", "token_runs", "wakati_documents", "normalized_documents", "tokens_conversations", "ignore_yomigana", "prolonged_marks", "char_runs", "bow_flags", "sentences"])
 def test_batches_in_pieces(spark, monkeypatch, name):
     made, real = [], F.arrow_udf
 
